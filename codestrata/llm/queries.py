@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import p1_spans, p2_pairs, p4_terms, p7_ranking, p8_leaks, p9_mixing
+from codestrata.llm import p1_spans, p2_pairs, p3_origin, p4_terms, p5_functions, p6_syntax, p7_ranking, p8_leaks, p9_mixing, p10_abuse
 from codestrata.session import table
 
 MEASURES = ["pagerank", "fan_in", "churn_commits", "loc"]
@@ -37,6 +37,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return s.select("repo", "path_a", "path_b")
 
 
+def p3_origins(spark: SparkSession, d: str) -> DataFrame:
+    return p3_origin.origins(table(spark, d, "files"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_origins(spark, d).filter("found").select("file_id").distinct()
+
+
 def p4_terms_of_records(spark: SparkSession, d: str) -> DataFrame:
     return p4_terms.term_weights(p4_terms.units_of(table(spark, d, "symbols"), table(spark, d, "file_facts"), table(spark, d, "commits")))
 
@@ -47,6 +55,28 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return w.filter(rare & ((F.col("record_kind") == "commit") | (F.col("tf") >= 3))).select("record_kind", "record_key", "term")
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code-description pairs of the functions with a real description."""
+    p = p5_functions.documented(table(spark, d, "funcs"), table(spark, d, "files"))
+    return p.filter("real").select("file_id", "path", "func_name", "line", "params", "code", "description", "origin")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs(spark, d).select("file_id", "line").distinct()
+
+
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    return p6_syntax.syntax(table(spark, d, "files"))
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p6_syntax.rates(p6_files(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_files(spark, d).filter(~F.col("valid")).select("file_id").distinct()
+
+
 def p7_order(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "metrics")
     return p7_ranking.leximin(p7_ranking.latest(m, "file_id", "scanned_at", ["repo", *MEASURES]), "file_id", "repo", MEASURES)
@@ -77,5 +107,17 @@ def p9_blend(spark: SparkSession, d: str) -> DataFrame:
     return p9_mixing.select(m, p9_mixing.plan(m, table(spark, d, "source_targets"))[1])
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return p10_abuse.abuse(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p10_abuse.rates(p10_scores(spark, d), table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).filter("score >= 0.5").select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
