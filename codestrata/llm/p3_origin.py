@@ -207,12 +207,36 @@ def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs:
     return total / max(1, kept)
 
 
+def _learn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row (weights, threshold, report) from the sample's features."""
+    import json
+
+    y = np.where(pdf.kind != "", 1.0, -1.0)
+    rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(pdf.idx, pdf.val)]
+    held = np.array([zlib.crc32(r.encode()) % 5 == 0 for r in pdf.repo], bool)
+    shown = pdf.show.to_numpy(bool)
+    if (y > 0).sum() < 4 or (y < 0).sum() < 4:
+        return pd.DataFrame([(np.zeros(3 * DIM + 1, np.float32).tobytes(), -1.0, json.dumps({"trained": False}))], columns=["weights", "threshold", "report"])
+    use = ~held if (y[~held] > 0).sum() > 3 and (y[held] > 0).sum() > 3 else np.ones(len(y), bool)
+    w = train_svm([r for r, u in zip(rows, use) if u], y[use]).astype(np.float32)
+    test = ~use if not use.all() else use
+    s = np.array([(w[i] * v).sum() + w[-1] * 0.3 for i, v in rows])
+    pos = np.sort(s[test & shown & (y > 0)])
+    threshold = float(min(0.0, pos[0] - 0.5)) if len(pos) else 0.0
+    right = (s > 0) == (y > 0)
+    report = {"trained": True, "rows": len(y), "held_out_accuracy": float(right[test & shown].mean()), "held_out_masked": float(right[test & ~shown].mean()), "threshold": threshold}
+    return pd.DataFrame([(w.tobytes(), threshold, json.dumps(report))], columns=["weights", "threshold", "report"])
+
+
 def fit(files: DataFrame, sample: int = 3_000) -> tuple[np.ndarray, float, dict]:
     """(weights, threshold, report) from at most about ``sample`` files, chosen by a hash of their ids (a documented bound for the fit).
 
     A fifth of the repositories is held out; the threshold lies half a margin below the lowest of their betrayed files (at most 0), so the exact
-    check behind it decides. With too few betrayed files to learn from, everything is a candidate.
+    check behind it decides. With too few betrayed files to learn from, everything is a candidate. The sample is learnt in one task of an
+    executor; only the weights (a fixed number) come to the driver.
     """
+    import json
+
     n = files.count()
     part = files if n <= sample else files.filter(F.pmod(F.xxhash64("file_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
 
@@ -228,24 +252,14 @@ def fit(files: DataFrame, sample: int = 3_000) -> tuple[np.ndarray, float, dict]
                     if not show and kind == "vendored" and not PLACES & set((path or "").lower().split("/")[:-1]):
                         continue
                     idx, val = features(path or "", u, show)
-                    out.append((repo or "", kind, show, idx.astype("int32"), val))
+                    out.append((repo or "", kind, show, idx.astype(np.int32).tobytes(), val.astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["repo", "kind", "show", "idx", "val"])
 
-    got = part.select("repo", "path", "text").mapInPandas(read, "repo string, kind string, show boolean, idx array<int>, val array<float>").toPandas()
-    y = np.where(got.kind != "", 1.0, -1.0)
-    rows = [(np.asarray(i, np.int64), np.asarray(v, float)) for i, v in zip(got.idx, got.val)]
-    held = np.array([zlib.crc32(r.encode()) % 5 == 0 for r in got.repo], bool)
-    if (y > 0).sum() < 4 or (y < 0).sum() < 4:
-        return np.zeros(3 * DIM + 1), -1.0, {"trained": False}
-    use = ~held if (y[~held] > 0).sum() > 3 and (y[held] > 0).sum() > 3 else np.ones(len(y), bool)
-    w = train_svm([r for r, u in zip(rows, use) if u], y[use])
-    test = ~use if not use.all() else use
-    s = np.array([(w[i] * v).sum() + w[-1] * 0.3 for i, v in rows])
-    shown = test & got.show.to_numpy(bool)
-    pos = np.sort(s[shown & (y > 0)])
-    threshold = float(min(0.0, pos[0] - 0.5)) if len(pos) else 0.0
-    report = {"trained": True, "rows": len(y), "held_out_accuracy": float(((s > 0) == (y > 0))[shown].mean()), "held_out_masked": float(((s > 0) == (y > 0))[test & ~got.show.to_numpy(bool)].mean()), "threshold": threshold}
-    return w, threshold, report
+    got = part.select("repo", "path", "text").mapInPandas(read, "repo string, kind string, show boolean, idx binary, val binary")
+    row = got.groupBy(F.lit(0)).applyInPandas(_learn, "weights binary, threshold double, report string").first()
+    if row is None:
+        return np.zeros(3 * DIM + 1, np.float32), -1.0, {"trained": False}
+    return np.frombuffer(bytes(row["weights"]), np.float32), row["threshold"], json.loads(row["report"])
 
 
 def origins(files: DataFrame, sample: int = 3_000, sure: float = 1.0) -> DataFrame:
