@@ -256,7 +256,7 @@ def fit(files: DataFrame, sample: int = 3_000) -> tuple[np.ndarray, float, dict]
             yield pd.DataFrame(out, columns=["repo", "kind", "show", "idx", "val"])
 
     got = part.select("repo", "path", "text").mapInPandas(read, "repo string, kind string, show boolean, idx binary, val binary")
-    row = got.groupBy(F.lit(0)).applyInPandas(_learn, "weights binary, threshold double, report string").first()
+    row = got.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_learn, "weights binary, threshold double, report string").first()
     if row is None:
         return np.zeros(3 * DIM + 1, np.float32), -1.0, {"trained": False}
     return np.frombuffer(bytes(row["weights"]), np.float32), row["threshold"], json.loads(row["report"])
