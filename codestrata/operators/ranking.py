@@ -27,19 +27,19 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column
     ``total``: also give the group's whole sum under this name. Null values count 0, null groups are one group; an empty input gives an
     empty output.
     """
-    parts = df.withColumn("__v", F.coalesce(value, F.lit(0)))
-    parts = parts.repartitionByRange(*_order(group + order)).withColumn("__p", F.spark_partition_id())
+    parts = df.withColumn("__rs_v", F.coalesce(value, F.lit(0)))
+    parts = parts.repartitionByRange(*_order(group + order)).withColumn("__rs_p", F.spark_partition_id())
     parts = cut(parts)
-    w = Window.partitionBy(*group, "__p").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = parts.groupBy(*group, "__p").agg(F.sum("__v").alias("__s"))
-    pieces = pieces.withColumn("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+    w = Window.partitionBy(*group, "__rs_p").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*group).orderBy("__rs_p").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = parts.groupBy(*group, "__rs_p").agg(F.sum("__rs_v").alias("__rs_s"))
+    pieces = pieces.withColumn("__rs_b", F.coalesce(F.sum("__rs_s").over(before), F.lit(0)))
     if total:
-        pieces = pieces.withColumn(total, F.sum("__s").over(Window.partitionBy(*group)))
-    pieces = pieces.select(*[F.col(g).alias(f"__r_{g}") for g in group], F.col("__p").alias("__r_p"), "__b", *([total] if total else []))
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__r_{g}")) for g in group] + [F.col("__p") == F.col("__r_p")])
-    res = parts.withColumn("__c", F.sum("__v").over(w)).join(pieces, same, "left").withColumn(out, F.col("__c") + F.col("__b"))
-    return res.drop("__v", "__p", "__c", "__b", "__r_p", *[f"__r_{g}" for g in group])
+        pieces = pieces.withColumn(total, F.sum("__rs_s").over(Window.partitionBy(*group)))
+    pieces = pieces.select(*[F.col(g).alias(f"__rs_g_{g}") for g in group], F.col("__rs_p").alias("__rs_r_p"), "__rs_b", *([total] if total else []))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__rs_g_{g}")) for g in group] + [F.col("__rs_p") == F.col("__rs_r_p")])
+    res = parts.withColumn("__rs_c", F.sum("__rs_v").over(w)).join(pieces, same, "left").withColumn(out, F.col("__rs_c") + F.col("__rs_b"))
+    return res.drop("__rs_v", "__rs_p", "__rs_c", "__rs_b", "__rs_r_p", *[f"__rs_g_{g}" for g in group])
 
 
 def value_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
