@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+from hashlib import md5
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import lines_of
+from codestrata.session import spread
 
 TOKEN = r"([A-Za-z_][A-Za-z_0-9]*|[0-9]+|[^\sA-Za-z_0-9])"
 
@@ -24,23 +30,41 @@ def token_arrays(files: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, toks, lines): the same as one row per file."""
     unified = F.regexp_replace("text", "\r\n?", "\n")
     per = F.transform(F.split(unified, "\n"), lambda l, i: F.transform(F.regexp_extract_all(l, F.lit(TOKEN), F.lit(1)), lambda t: F.struct(F.when(t.rlike("^[0-9]+$"), "N").otherwise(t).alias("tok"), (i + 1).alias("line"))))
-    flat = files.filter(F.col("text").isNotNull()).select(key, F.flatten(per).alias("x"))
+    flat = spread(files.filter(F.col("text").isNotNull()).select(key, "text")).select(key, F.flatten(per).alias("x"))
     return flat.select(key, F.col("x.tok").alias("toks"), F.col("x.line").alias("lines"))
 
 
-def gram_hash(toks: Column, at: Column, k: int) -> Column:
-    return F.md5(F.array_join(F.slice(toks, at, F.lit(k)), " "))
+def winnow(toks: list[str], k: int, window: int) -> list[tuple[str, int]]:
+    """(hash, position from 1): of each ``window`` successive k-gram hashes the smallest, the rightmost of equals, each once."""
+    grams = [md5(" ".join(toks[i : i + k]).encode()).hexdigest() for i in range(len(toks) - k + 1)]
+    if not grams:
+        return []
+    out: list[tuple[str, int]] = []
+    best: deque[int] = deque()  # places of falling minima; the front is the window's
+    for i, h in enumerate(grams):
+        while best and grams[best[-1]] >= h:
+            best.pop()
+        best.append(i)
+        if best[0] <= i - window:
+            best.popleft()
+        if i >= window - 1 or i == len(grams) - 1:
+            f = (grams[best[0]], best[0] + 1)
+            if not out or out[-1] != f:
+                out.append(f)
+    return out
 
 
 def fingerprints(arrays: DataFrame, key: str = "file_id", k: int = 25, window: int = 10) -> DataFrame:
-    """(key, h, pos): of each ``window`` successive k-gram hashes the smallest, the rightmost of equals. All inside a file's row, without a shuffle."""
-    n = F.size("toks") - (k - 1)
-    grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(gram_hash(F.col("toks"), i, k).alias("h"), (-i).alias("q")))
-    g = arrays.filter(F.size("toks") >= k).select(key, grams.alias("g"))
-    last = F.greatest(F.size("g") - (window - 1), F.lit(1))
-    mins = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(F.col("g"), i, F.lit(window))))
-    f = g.select(key, F.explode(F.array_distinct(mins)).alias("m"))
-    return f.select(key, F.col("m.h").alias("h"), (-F.col("m.q")).alias("pos"))
+    """(key, h, pos): the winnowed fingerprints of token arrays (key, toks). One pass over Arrow batches without a shuffle: array expressions
+    can say it too, but build every gram and every window as an array of its own (ten times slower here)."""
+    kind = dict(arrays.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, h, p) for i, t in zip(b[key], b.toks) for h, p in winnow(list(t), k, window)]
+            yield pd.DataFrame(rows, columns=[key, "h", "pos"])
+
+    return arrays.select(key, "toks").mapInPandas(run, f"{key} {kind}, h string, pos int")
 
 
 def clone_runs(files: DataFrame, key: str = "file_id", k: int = 25, window: int = 10, most: int = 12, shortest: int = 70) -> DataFrame:

@@ -686,3 +686,43 @@ def ramp_score_components(s, d):
 @query(f"WITH {_COMPONENTS}, tt AS (SELECT repo, sum(score * CASE category WHEN 'size' THEN 0.15 WHEN 'agent_risk' THEN 0.25 ELSE 0.2 END) AS total FROM ct GROUP BY repo) SELECT repo, round(total, 4) AS total, CASE WHEN total < 25 THEN 'handover' WHEN total < 45 THEN 'pack' WHEN total < 65 THEN 'supervised' ELSE 'stabilize' END AS tier FROM tt")
 def weighted_total_tier(s, d):
     return scoring.total_score(scoring.category_scores(_components(s, d), ["repo"]), ["repo"]).select("repo", F.round("total", 4).alias("total"), "tier")
+
+
+# Whole scans (rows only: parsing and iteration are not SQL) -----------------------------------------------------------------------------
+def _scan(s, d):
+    """All repositories as one snapshot, paths under their repository's name."""
+    from codestrata.plans.scan import Scan
+
+    f = _t(s, d, "files").select(F.concat_ws("/", "repo", "path").alias("path"), "text")
+    c = _commits(s, d).select(F.lit("all").alias("repo"), "sha", "ord", "ts", "author", "subject", "body")
+    cf = _t(s, d, "commit_files").filter(F.col("path").isNotNull()).select(F.lit("all").alias("repo"), "sha", F.concat_ws("/", "repo", "path").alias("path"), "added", "deleted")
+    return Scan(s, f, c, cf)
+
+
+@query()
+def parsed_facts(s, d):
+    """Counts of what the parsers find per file."""
+    f = _scan(s, d).facts
+    n = lambda c: F.size(c).alias(f"n_{c}")
+    return f.select("path", "lang", "lines", "loc", "class_name", "generated_by", F.col("parse_error").isNotNull().alias("broken"), *[n(c) for c in ("funcs", "symbols", "refs", "imports", "calls", "dict_keys", "subs", "strings", "comments", "norm")])
+
+
+@query()
+def scan_findings(s, d):
+    return _scan(s, d).findings
+
+
+@query()
+def scan_risk(s, d):
+    return _scan(s, d).ranking.select("path", "role", "loc", "fan_in", "fan_out", "pagerank", "reach", "churn_commits", "score", "tier", "reasons")
+
+
+@query()
+def scan_score(s, d):
+    return _scan(s, d).score()
+
+
+@query()
+def blast_impacted(s, d):
+    r = _scan(s, d).blast("replace the save format of the market inventory")
+    return s.createDataFrame([(i["path"], i["score"], i["kind"], len(i["chain"])) for i in r["impacted"]], "path string, score double, kind string, hops int")
