@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.llm.fm_index import FMIndex
-from codestrata.session import cut
+from codestrata.session import cut, spread
 
 K = 64
 RUNS = "h long, a long, b long, left int, right int"
@@ -158,7 +158,7 @@ def spans(files: DataFrame, span: int = 400, shard_chars: int = 2_000_000, block
             yield df.astype({"lk": "Int64", "rk": "Int64", "id": "int64", "h": "int64", "place": "int32"})
 
     texts = files.select("id", "text").filter(F.col("id").isNotNull() & (F.char_length("text") >= span))
-    found = texts.mapInPandas(find, "id long, h long, place int, lk long, rk long")
+    found = spread(texts).mapInPandas(find, "id long, h long, place int, lk long, rk long")
     keys = found.select("id", "h", "place", F.explode(F.array("lk", "rk")).alias("key")).filter(F.col("key").isNotNull())
     keys = cut(keys)
     several = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")

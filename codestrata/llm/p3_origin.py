@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import spread
 from codestrata.llm.lexers import unified
 
 DIM = 1 << 16
@@ -268,7 +269,7 @@ def origins(files: DataFrame, sample: int = 3_000, sure: float = 1.0) -> DataFra
     ``found``: a candidate of the classifier with evidence, or a body that scores ``sure`` or more without its opening comment and path. Null
     and empty texts have no body: only their place can speak. Exact duplicate rows give one row.
     """
-    src = files.select("file_id", "repo", "path", "text")
+    src = spread(files.select("file_id", "repo", "path", "text"))
     w, threshold, _ = fit(src, sample)
     held = files.sparkSession.sparkContext.broadcast(w.astype("float32"))
     trained = bool(w.any())

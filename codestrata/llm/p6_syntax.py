@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import spread
 from codestrata.llm.lexers import LANGUAGES, grammar, lex, unified
 
 SCHEMA = "file_id long, repo string, path string, lang string, valid boolean, reason string, line int, token string"
@@ -63,7 +64,7 @@ def syntax(files: DataFrame) -> DataFrame:
             df = pd.DataFrame(rows, columns=["file_id", "repo", "path", "lang", "valid", "reason", "line", "token"])
             yield df.astype({"valid": "boolean", "line": "Int32"})
 
-    return files.select("file_id", "repo", "path", "text").mapInPandas(run, SCHEMA).distinct()
+    return spread(files.select("file_id", "repo", "path", "text")).mapInPandas(run, SCHEMA).distinct()
 
 
 def rates(results: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 FOUND = "doc_id long, item_id long, start int, end int, words int"
 
@@ -82,5 +84,5 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = 12, block_words: int =
                 rows = [(d, *m) for d, t in zip(b.doc_id, b.text) for m in matches(t, auto, number, span)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "words"])
 
-        parts.append(docs.select("doc_id", "text").mapInPandas(scan, FOUND))
+        parts.append(spread(docs.select("doc_id", "text")).mapInPandas(scan, FOUND))
     return reduce(DataFrame.unionByName, parts)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.operators.ranking import running_sum
-from codestrata.session import cut
+from codestrata.session import cut, spread
 
 #: The vocabulary file, a parameter of the machine; see the README.
 TOKENIZER = os.environ.get("CODESTRATA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -50,7 +50,7 @@ def measured(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, text_key, tokens), written once: sources trimmed and lower-cased, exact duplicate rows counted once (the text is
     represented by two 64-bit hashes and its length after the count). Documents without a source keep a null source."""
     key = F.concat_ws("-", F.xxhash64("text"), F.hash("text"), F.char_length("text"))
-    d = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), key.alias("text_key"), token_counter(path)("text").alias("tokens"))
+    d = spread(docs.select("doc_id", "source", "text")).select("doc_id", F.lower(F.trim("source")).alias("source"), key.alias("text_key"), token_counter(path)("text").alias("tokens"))
     return cut(d.distinct())
 
 
