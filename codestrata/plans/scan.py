@@ -17,6 +17,13 @@ from codestrata.session import cut
 from codestrata.sources import parsers
 
 EDGE_WEIGHT = {"extends": 1.0, "scene-script": 1.0, "class": 0.8, "autoload": 0.8, "preload": 0.7, "load": 0.5, "import": 0.7, "include": 0.7, "require": 0.7, "ref": 0.4}
+# Fixed: members that every scripted class inherits from the engine's base classes; a longer list is a parameter of the scan.
+ENGINE_MEMBERS = """
+new free get set call callv call_deferred connect disconnect is_connected emit_signal has_method has_signal get_class is_class get_script set_script get_meta set_meta has_meta
+remove_meta notification to_string get_instance_id set_deferred add_child remove_child get_child get_children get_child_count get_node get_node_or_null has_node get_parent
+find_child get_tree is_inside_tree queue_free reparent get_index get_path owner name process_mode add_to_group remove_from_group is_in_group create_tween get_viewport ready
+tree_entered tree_exiting tree_exited visible modulate position rotation scale global_position show hide instantiate script duplicate resource_path
+""".split()  # noqa: SIM905
 BLAST_STOP = set(X.STOP_WORDS)
 
 
@@ -24,8 +31,9 @@ class Scan:
     """One snapshot: ``files`` (path, text), optionally ``commits`` (repo, sha, ord, ts, author, subject, body) with ``commit_files``
     (repo, sha, path, added, deleted), ``assets`` (path) that exist without text, and ``excluded`` export patterns (shell style)."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, commits: DataFrame | None = None, commit_files: DataFrame | None = None, assets: DataFrame | None = None, excluded: list[str] = ()):
+    def __init__(self, spark: SparkSession, files: DataFrame, commits: DataFrame | None = None, commit_files: DataFrame | None = None, assets: DataFrame | None = None, excluded: list[str] = (), engine_members: list[str] | None = None):
         self.spark, self.files, self.commits, self.commit_files, self.assets = spark, files.select("path", "text"), commits, commit_files, assets
+        self.engine_members = ENGINE_MEMBERS if engine_members is None else engine_members
         self.excluded = [X.glob_regex(x) for x in excluded]
 
     # -- relations ----------------------------------------------------------------------------------------------------------------
@@ -146,11 +154,9 @@ class Scan:
         imp = self.part("imports").filter(F.col("spec").startswith("res://") & ~F.col("spec").rlike(r"[%{]|/$"))
         gone = imp.withColumn("target", F.regexp_replace("spec", "^res://", "")).join(self.paths.select(F.col("path").alias("target")), "target", "left_anti")
         add(gone, "path.missing-resource", F.when(F.col("how") == "preload", "high").otherwise("medium"), "agent-risk", F.concat(F.lit("Missing resource "), "target"))
-        used = self.part("emits").select("value").union(self.part("connects").select("value")).distinct()
         heard = self.part("connects").select("value", F.lit(True).alias("heard")).distinct()
         quiet = self.part("signals").join(self.part("emits").select("value").distinct(), "value", "left_anti").join(heard, "value", "left")
         add(quiet, "godot.signal-never-emitted", F.when(F.col("heard"), "medium").otherwise("low"), "prompt-archaeology", F.concat(F.lit("Signal never emitted: "), "value"))
-        del used
         subs = self.part("subs")
         read = subs.filter("mode = 'read'").select("path", F.col("key"), F.col("path").alias("file"), "line", F.lit(False).alias("guarded"))
         made = self.part("dict_keys").select("key").union(subs.filter("mode <> 'read'").select("key")).union(self.part("calls").filter(F.col("fn").isin("set_meta", "get_or_add", "merge") & (F.size("args") > 0)).select(F.col("args")[0]["s"].alias("key")))
@@ -159,9 +165,10 @@ class Scan:
         add(missing.join(first, "key"), "contract.key-never-written", "medium", "agent-risk", F.concat(F.lit("Key read but never written: "), "key"))
         members = self.part("symbols").join(self.roles.select("path", "class_name"), "path").filter(F.col("class_name").isNotNull()).select(F.col("class_name").alias("class"), F.col("name").alias("member"))
         parents = self.roles.filter(F.col("class_name").isNotNull()).select(F.col("class_name").alias("name"), F.col("extends").alias("parent"))
-        own = parents.filter(F.col("parent").isNull() | F.col("parent").isin([r[0] for r in parents.select("name").distinct().limit(100_001).collect()])) if parents.limit(100_001).count() <= 100_000 else parents
+        own = parents.select("name").distinct()
+        engine = own.select(F.col("name").alias("class"), F.explode(F.array(*map(F.lit, self.engine_members))).alias("member"))
         refs = self.part("refs").filter(F.col("member").isNotNull()).select(F.col("name").alias("class"), "member", F.col("path").alias("file"), "line").join(own.select(F.col("name").alias("class")), "class", "left_semi")
-        add(contracts.missing_members(refs, members, graph.ancestors(parents)).withColumnRenamed("file", "path"), "godot.missing-member", "high", "agent-risk", F.concat_ws(".", "class", "member"))
+        add(contracts.missing_members(refs, members.unionByName(engine), graph.ancestors(parents)).withColumnRenamed("file", "path"), "godot.missing-member", "high", "agent-risk", F.concat_ws(".", "class", "member"))
         lines = X.lines_of(self.files.filter(X.language(F.col("path")).isNotNull()), ["path"])
         com = smells.comment_lines(lines)
         add(com.filter(F.col("body").rlike(smells.ELISION)), "smell.elision-marker", "high", "prompt-archaeology", F.lit("Elision marker"))

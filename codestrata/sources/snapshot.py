@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,6 @@ def directory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _utf8():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(b: pd.Series) -> pd.Series:
         return b.map(lambda x: bytes(x).decode("utf-8", "replace"))
