@@ -185,8 +185,9 @@ def features(path: str, text: str, show_opening: bool) -> tuple[np.ndarray, np.n
     return idx, np.concatenate([body[1], top[1], place[1]])
 
 
-def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 5, lam: float = 1e-4, seed: int = 5) -> np.ndarray:
-    """Linear SVM (hinge loss, classes weighed equally) by averaged Pegasos steps; the last weight is the bias."""
+def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 20_000, lam: float = 1e-4, seed: int = 5) -> np.ndarray:
+    """Linear SVM (hinge loss, classes weighed equally) by about ``steps`` averaged Pegasos steps; the last weight is the bias."""
+    epochs = max(5, -(-steps // max(1, len(y))))
     rng = np.random.default_rng(seed)
     w, total, scale, t = np.zeros(3 * DIM + 1), np.zeros(3 * DIM + 1), 1.0, 0
     weight = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum()))

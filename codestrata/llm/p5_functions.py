@@ -154,7 +154,7 @@ def pairs_of(path: str, text: str, wanted: list[tuple[int, int, str, list[str]]]
             continue
         node = by_line.get(line)
         names = list(params) + (param_names(node.params) if node else [])
-        code = u[starts[line - 1] : node.end] if node else "\n".join(lines[line - 1 : max(line, end_line or line)])
+        code = u[node.start : node.end] if node else "\n".join(lines[line - 1 : max(line, end_line or line)])
         choices = []
         if node and node.doc is not None:
             choices.append(("docstring", node.doc))
