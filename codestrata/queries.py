@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
-from codestrata.operators import clones, contracts, graph, history, retrieval, scoring, smells
+from codestrata.operators import clones, contracts, documents, graph, history, retrieval, scoring, smells
 from codestrata.operators.ranking import rank_over
 from codestrata.session import table
 
@@ -425,6 +425,13 @@ def payload_missing_keys(s, d):
     return contracts.payload_missing(_sends(s, d), need).select("key", "line", F.array_join("missing", ",").alias("missing"), "severity")
 
 
+@query()
+def fuzzy_suggestion(s, d):
+    """The nearest handled key for each unhandled event type (matching-block ratio, so rows only)."""
+    k = s.createDataFrame(_HANDLERS, "table_id string, key string, access string, open boolean")
+    return documents.suggestion(contracts.unknown_keys(_sends(s, d), k), k, "table_id", 0.5)
+
+
 _MENTION = r"[A-Za-z_0-9]+(?:/[A-Za-z_0-9.]+)+\.(?:gd|py|js|ts|go)\b"
 
 
