@@ -2,6 +2,15 @@
 
 _TERMS = r"list_filter(list_transform(regexp_extract_all(regexp_replace(coalesce({0}, ''), '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '\p{{L}}+'), lambda x: lower(x)), lambda x: length(x) >= 3)"
 
+P1_FOUND = """
+WITH f AS (SELECT DISTINCT file_id, text FROM files WHERE length(text) >= 400),
+g AS (SELECT file_id, hash(substring(text, i, 400)) AS h FROM (SELECT file_id, text, unnest(range(1, length(text) - 398)) AS i FROM f)),
+k AS (SELECT DISTINCT file_id, h FROM g),
+m AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+s AS (SELECT k.* FROM k JOIN m USING (h))
+SELECT DISTINCT a.file_id AS file_a, b.file_id AS file_b FROM s a JOIN s b ON a.h = b.h AND a.file_id < b.file_id
+"""
+
 P2_FOUND = """
 WITH d AS (SELECT DISTINCT repo, sha, path FROM commit_files WHERE repo IS NOT NULL AND sha IS NOT NULL AND path IS NOT NULL),
 s AS (SELECT repo, sha FROM d GROUP BY repo, sha HAVING count(*) BETWEEN 2 AND 30),
@@ -51,4 +60,4 @@ WHERE coalesce(s.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM z)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND}
