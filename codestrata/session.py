@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,17 @@ def session(app: str = "codestrata", master: str | None = None, shuffle: int | N
     )
 
 
+def findable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder the session was started in."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    findable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
