@@ -71,11 +71,12 @@ def _fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def tail(k: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
     """P(X >= k) for X a sum of independent Binomial(n[j, s], q[j, s]) over s: one exact convolution per row, truncated where the rest is
-    below 1e-12 of the result. Low counts come from the complement, where nothing cancels."""
+    below 1e-12 of the result. Counts up to the mean come from the complement, where nothing cancels; the others from the tail itself."""
     mean = (n * q).sum(1)
-    low = k <= 2 * mean + 10
+    low, far = k <= mean, k > 2 * mean
+    near = ~low & ~far
     out = np.empty(len(k))
-    for part, span in ((low, 0), (~low, 45)):
+    for part, span in ((low, 0), (near, 45 + int(np.ceil(10 * np.sqrt(mean[near].max(initial=0))))), (far, 45)):
         rows = np.flatnonzero(part)
         for start in range(0, len(rows), 2048):
             r = rows[np.argsort(k[rows], kind="stable")][start : start + 2048]
@@ -84,13 +85,10 @@ def tail(k: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
             pmf[:, 0] = 1
             for s in range(q.shape[1]):
                 qs, ns = np.clip(q[r, s], 0, 1 - 1e-12), n[r, s]
-                one = np.zeros_like(pmf)
-                one[:, 0] = np.exp(ns * np.log1p(-qs))
-                ratio = qs / (1 - qs)
-                for j in range(1, length):
-                    one[:, j] = one[:, j - 1] * np.maximum(ns - j + 1, 0) / j * ratio
-                    if not one[:, j].any():
-                        break
+                j = np.arange(1, length)
+                with np.errstate(divide="ignore"):  # by logarithms: the chance of none underflows in large groups
+                    steps = np.log(np.maximum(ns[:, None] - j + 1, 0) / j) + np.log(qs / (1 - qs))[:, None]
+                one = np.exp((ns * np.log1p(-qs))[:, None] + np.c_[np.zeros(len(r)), np.cumsum(steps, 1)])
                 top = int(np.flatnonzero(one.any(0)).max(initial=0)) + 1
                 new = np.zeros_like(pmf)
                 for j in range(top):
@@ -103,6 +101,7 @@ def tail(k: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def surprise(rows: DataFrame, group: str, basket: str, item: str, low: int = 2, high: int = 30, least: int = 2, alpha: float = 0.05) -> DataFrame:
     """(g, a, b, n, n_a, n_b, n_ab, lift, p_value, significant) for each pair of items of a group with ``least`` common baskets.
+    Ranks count the pairs with ``least`` common baskets only: with 1, every observed pair is ranked.
 
     n: the group's baskets of ``low`` to ``high`` items. lift = n_ab n / (n_a n_b). p_value: chance of n_ab or more under the null model.
     significant: p_value is under the Benjamini-Hochberg threshold at ``alpha`` over all pairs of the group's items. a < b by code point.

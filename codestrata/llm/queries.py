@@ -29,7 +29,7 @@ def p1_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
-    return p2_pairs.surprise(table(spark, d, "commit_files"), "repo", "sha", "path", least=6).withColumnsRenamed({"g": "repo", "a": "path_a", "b": "path_b"})
+    return p2_pairs.surprise(table(spark, d, "commit_files"), "repo", "sha", "path", least=1).withColumnsRenamed({"g": "repo", "a": "path_a", "b": "path_b"})
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import ast
 import itertools
+import math
 import random
 import re
 import warnings
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codestrata.llm import lexers, p1_spans, p2_pairs, p3_origin, p4_terms, p5_functions, p6_syntax, p7_ranking, p8_leaks, p9_mixing, p10_abuse
+from codestrata.llm import queries as llm_queries
 from codestrata.llm.fm_index import FMIndex
 
 
@@ -113,6 +115,30 @@ def test_no_baskets_no_pairs(spark):
     assert p2_pairs.surprise(spark.createDataFrame([("r", "s", "a")], "repo string, sha string, path string"), "repo", "sha", "path").count() == 0
 
 
+def test_surprise_reports_and_ranks_every_observed_pair(spark, tmp_path):
+    rng = random.Random(9)
+    sets = [{f"a{k}", f"b{k}"} for k in range(6) for _ in range(5)] + [set(rng.sample([f"x{i}" for i in range(12)], 3)) for _ in range(40)]
+    cf = [("r", f"s{i}", p) for i, s in enumerate(sets) for p in sorted(s)]
+    spark.createDataFrame(cf, "repo string, sha string, path string").write.parquet(str(tmp_path / "commit_files.parquet"))
+    got = llm_queries.p2_surprise(spark, str(tmp_path)).collect()
+    items = sorted(set().union(*sets))
+    want = {(a, b): n for a, b in itertools.combinations(items, 2) if (n := sum({a, b} <= s for s in sets))}
+    assert {(r.path_a, r.path_b): r.n_ab for r in got} == want and 1 in want.values()
+    p = sorted(r.p_value for r in got)
+    tests = len(items) * (len(items) - 1) / 2
+    cut_at = max((v for i, v in enumerate(p, 1) if v <= 0.05 * i / tests), default=-1.0)
+    assert all(r.significant == (r.p_value <= cut_at) for r in got)
+    assert all(r.significant and r.p_value > 0 for r in got if r.path_a[0] == "a")
+
+
+def test_tail_of_rare_pairs_does_not_cancel():
+    q, n = np.array([[1e-4], [1e-5]]), np.array([[50.0], [100.0]])
+    got = p2_pairs.tail(np.array([5, 6]), q, n)
+    want = [sum(math.comb(m, j) * x**j * (1 - x) ** (m - j) for j in range(k, m + 1)) for k, x, m in ((5, 1e-4, 50), (6, 1e-5, 100))]
+    assert np.allclose(got, want, rtol=1e-6, atol=0)
+    assert 0.4 < p2_pairs.tail(np.array([2000]), np.array([[0.5]]), np.array([[4000.0]]))[0] < 0.6
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     ("path", "text", "kind"),
