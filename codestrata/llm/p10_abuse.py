@@ -41,6 +41,8 @@ _SUSPECT = re.compile(
     r"|(?P<mixed>(?<![\w/])[\w@$!|+€£¡*#•●×&(]*(?:[^\W\d_][\d@$!|+€£¡*#•●×]|[\d@$!|+€£¡][^\W\d_])[\w@$!|+€£¡*#•●×]*(?![/(]))"
     r"|(?P<long>\b[^\W\d_]*?([^\W\d_])\4\4[^\W\d_]*\b)|(?P<alien>\b(?=\w*[a-zA-Z])(?=\w*[Ͱ-ӿԀ-ԯ])\w+\b)"
 )
+#: Markdown emphasis: its closing stars mask nothing.
+_EMPHASIS = re.compile(r"(?<![\w*])(\*{1,3})(?=[^\s*])[^*]*(?<=[^\s*])\1(?![\w*])")
 
 
 class CharModel:
@@ -49,6 +51,7 @@ class CharModel:
     def __init__(self, lexicon: dict[str, float], corpus: dict[str, float], order: int = 4):
         self.order, self.lexicon, self.vocabulary = order, lexicon, {"a": 1.0, "i": 1.0, "y": 1.0, "o": 1.0, **corpus, **lexicon}
         self.memo: dict[tuple[str, str, bool], float] = {}
+        self.follow: dict[str, set[str]] | None = None  # what follows each beginning of a known word, laid out where it is first needed
         self.tables = []
         for words in (lexicon, corpus):
             c: Counter = Counter()
@@ -83,31 +86,58 @@ class CharModel:
                     break
                 back *= 0.3
             best += weight * p
-        return -math.log(best + 1e-6)
-
-    def decode(self, lattice: list[list[tuple[str, float]]], masked: bool, beam: int = 160) -> str:
-        """The likeliest reading of a lattice (positions of (text, channel cost)); a reading made of known words is preferred."""
-        pad = "^" * (self.order - 1)
-        paths: dict[str, float] = {"": 0.0}
-        for options in lattice:
-            nxt: dict[str, float] = {}
-            for text, cost in paths.items():
-                for piece, channel in options:
-                    total, t = cost + channel, text
+        return max(0.0, -math.log(best + 1e-6))
+
+    def decode(self, lattice: list[list[tuple[str, float]]], masked: bool) -> str:
+        """The likeliest reading of a lattice (positions of (text, channel cost)), each unknown word costing 8 more; exact. Empty where no
+        reading is made of known words only. Costs are never negative, so the best known reading bounds the search among the unknown."""
+        if self.follow is None:
+            self.follow = {"": set()}
+            for w in self.vocabulary:
+                for k, ch in enumerate(w):
+                    self.follow.setdefault(w[:k], set()).add(ch)
+                self.follow.setdefault(w, set())
+        known = self._viterbi(lattice, masked, math.inf, False)
+        return (self._viterbi(lattice, masked, known[0], True) or known)[1] if known else ""
+
+    def _viterbi(self, lattice: list[list[tuple[str, float]]], masked: bool, bound: float, unknown: bool) -> tuple[float, str] | None:
+        """(cost, reading) of least cost up to ``bound``. A state is the word so far while it begins a known word, else a NUL and its last
+        characters that the model looks at: nothing else bears on what follows."""
+        far, follow = self.order - 1, self.follow
+        pad = "^" * far
+        rest = [0.0]
+        for options in reversed(lattice):
+            rest.append(rest[-1] + min((c for _, c in options), default=0.0))
+        rest.reverse()
+        bound += 1e-9
+        paths: dict[str, tuple[float, str]] = {"": (0.0, "")}
+        for i, options in enumerate(lattice):
+            nxt: dict[str, tuple[float, str]] = {}
+            by_char = dict(options) if len(options) > 30 and not unknown else None
+            for state, (cost, text) in paths.items():
+                pieces = options if by_char is None else [(c, by_char[c]) for c in follow[state] if c in by_char]
+                for piece, channel in pieces:
+                    total, s = cost + channel, state
                     for ch in piece:
-                        word = t.rpartition(" ")[2]
-                        total += self.cost((pad + word)[-(self.order - 1) :], "$" if ch == " " else ch, masked)
-                        t += ch
-                    if total < nxt.get(t, math.inf):
-                        nxt[t] = total
-            paths = dict(sorted(nxt.items(), key=lambda x: x[1])[:beam])
+                        total += self.cost((pad + s.lstrip("\0"))[-far:], "$" if ch == " " else ch, masked)
+                        if ch == " ":
+                            total += 0.0 if s[:1] == "\0" or s in self.vocabulary else 8.0 if unknown else math.inf
+                            s = ""
+                        elif s[:1] != "\0" and ch in follow[s]:
+                            s += ch
+                        else:
+                            total += 0.0 if s[:1] == "\0" else 8.0 if unknown else math.inf
+                            s = "\0" + (s.lstrip("\0") + ch)[-far:]
+                    if total < math.inf and total + rest[i + 1] <= bound and (s not in nxt or total < nxt[s][0]):
+                        nxt[s] = (total, text + piece)
+            paths = nxt
         done = []
-        for text, cost in paths.items():
-            word = text.rpartition(" ")[2]
-            cost += self.cost((pad + word)[-(self.order - 1) :], "$", masked)
-            unknown = sum(w not in self.vocabulary for w in text.split(" "))
-            done.append((cost + 8.0 * unknown, text))
-        return min(done)[1] if done else ""
+        for s, (cost, text) in paths.items():
+            cost += self.cost((pad + s.lstrip("\0"))[-far:], "$", masked)
+            cost += 0.0 if s[:1] == "\0" or s in self.vocabulary else 8.0 if unknown else math.inf
+            if cost < math.inf and cost <= bound:
+                done.append((cost, text))
+        return min(done, default=None)
 
 
 def _plain(c: str) -> str:
@@ -191,19 +221,20 @@ class Scorer:
         self.lexicon = lexicon_words()
         self.model = CharModel(self.lexicon, corpus)
         self.learned = learned or {}
-        self.known: dict[tuple[str, bool], str | None] = {}
+        self.known: dict[tuple[str, bool, bool], str | None] = {}
 
-    def reading(self, stretch: str, spaced: bool) -> str | None:
-        """The restored stretch, or None where it stays as it is (unknown words, or nothing but a plain word)."""
-        key = (stretch, spaced)
+    def reading(self, stretch: str, spaced: bool, emphasis: bool = False) -> str | None:
+        """The restored stretch, or None where it stays as it is (unknown words, or nothing but a plain word). Marks at its end stand for
+        letters, unless they close an ``emphasis`` or give no reading."""
+        key = (stretch, spaced, emphasis)
         if key not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            core = stretch.strip("*#") if not spaced else stretch
+            cores = [stretch] if spaced else [stretch.strip("*#")] if emphasis else dict.fromkeys((stretch.lstrip("*#"), stretch.strip("*#")))
             got = None
-            if 2 < len(core) <= 60:
-                lat, masked = lattice(core, spaced)
-                if len(lat) <= 60 and not (masked and sum(len(o) > 30 for o in lat) > 10):
+            for core in cores:
+                if got is None and len(core) > 2:
+                    lat, masked = lattice(core, spaced)
                     text = self.model.decode(lat, masked)
                     words = text.split(" ")
                     ok = [w in self.model.vocabulary for w in words]
@@ -217,9 +248,10 @@ class Scorer:
 
     def restore(self, passage: str) -> str:
         p = passage.translate(INVISIBLE)
+        closed = {m.end() for m in _EMPHASIS.finditer(p)}
 
         def swap(m: re.Match) -> str:
-            got = self.reading(m[0], m["spaced"] is not None)
+            got = self.reading(m[0], m["spaced"] is not None, m.end() in closed)
             return m[0] if got is None else got
 
         return re.sub(r"\s+", " ", _SUSPECT.sub(swap, p)).lower()
@@ -255,10 +287,10 @@ class Scorer:
         return top
 
 
-def corpus_words(docs: DataFrame, most: int = 20_000) -> dict[str, float]:
-    """Words of the corpus with document counts over all documents, of which the ``most`` frequent train the language model (bounded)."""
+def corpus_words(docs: DataFrame) -> dict[str, float]:
+    """Words of the corpus in three documents or more, with document counts over all documents; all of them train the language model."""
     w = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(?<![\p{L}\p{N}*@$!.])(\p{L}{2,24})(?![\p{L}\p{N}*@$!])"), F.lit(1)))).alias("w"))
-    top = w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").orderBy(F.desc("n"), "w").limit(most)
+    top = w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").orderBy(F.desc("n"), "w")
     return {r["w"]: float(r["n"]) for r in top.collect() if not (set(r["w"]) & LOOKALIKES.keys() - set("ßı") and re.search("[a-z]", r["w"]))}
 
 
@@ -281,7 +313,7 @@ def learned_words(docs: DataFrame, votes: DataFrame, scorer: Scorer, sample: int
 
     words = docs.select("doc_id", "text").join(v, "doc_id").mapInPandas(split, "w string, y int")
     good = words.groupBy("w").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).filter((F.col("pos") >= least) & (F.col("pos") >= 0.9 * F.col("n")))
-    return {r["w"]: r["pos"] / r["n"] for r in good.orderBy(F.desc("pos"), "w").limit(5_000).collect() if len(r["w"]) > 2}
+    return {r["w"]: r["pos"] / r["n"] for r in good.orderBy(F.desc("pos"), "w").collect() if len(r["w"]) > 2}
 
 
 def abuse(docs: DataFrame, votes: DataFrame | None = None) -> DataFrame:

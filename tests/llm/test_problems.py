@@ -356,6 +356,31 @@ def test_abuse_is_found_however_spelt(text):
     assert SCORER.text(text)[0] >= 0.5, SCORER.text(text)
 
 
+@pytest.mark.parametrize("text", ["You idio**", "f*** you", "sh** you", "you are the " + "  ".join(" ".join(w) for w in "worthless idiot you are the worthless idiot of this code".split())])
+def test_end_masks_and_long_stretches_are_read(text):
+    assert SCORER.text(text)[0] >= 0.5, SCORER.text(text)
+
+
+def test_emphasis_masks_nothing():
+    assert SCORER.restore("**get the shi**") == "**get the shi**" and SCORER.restore("get the shi**") == "get the shits"
+
+
+def test_decoding_is_exact():
+    model = p10_abuse.CharModel({"cab": 50.0, "bad": 5.0}, {"abba": 9.0, "dad": 3.0, "a": 4.0})
+    rng = random.Random(2)
+    for _ in range(200):
+        lat = [rng.choice([[(c, 1.0) for c in "abcd"], [(c, 0.0) for c in rng.choice("abcd")], [("", 0.1), (" ", 0.5)]]) for _ in range(rng.randrange(1, 6))]
+        best = []
+        for path in itertools.product(*lat):
+            text, cost = "".join(x for x, _ in path), sum(c for _, c in path)
+            for w in text.split(" "):
+                cost += sum(model.cost(("^^^" + w[:k])[-3:], ch, True) for k, ch in enumerate(w + "$")) + 8.0 * (w not in model.vocabulary)
+            best.append((cost, text))
+        known = [x for x in best if all(w in model.vocabulary for w in x[1].split(" "))]
+        got = model.decode(lat, True)
+        assert (not known and got == "") or min(c for c, t in best if t == got) <= min(best)[0] + 1e-9
+
+
 @pytest.mark.parametrize(
     "text",
     ["The watchdog will kill the process and abort its child tasks.", "Sexagesimal angles are used in the cockpit analytics.", "That branch is dead code, strip it and bury the flag.", "The naked node has no child.", "**Bold** text *and* globs *.gd with x86_64, v2.0 and a b c.", "The moderation page says that insults and slurs are removed.", "We hit a nasty race; the dumb terminal mode hides it.", "", None],
