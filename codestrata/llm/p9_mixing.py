@@ -2,7 +2,7 @@
 
 Documents are grouped by membership pattern: the set of sources in which the same text stands. A text that several sources hold may serve
 any of them. The patterns (at most 2^sources, checked) and the sources form a small flow network: pattern -> source edges carry tokens at
-a cost that rises with each repetition (convex), a source takes its target, and what can't be met is shortfall. The cheapest flow says how
+a cost that rises with each repetition (convex), every document counting with its own tokens, a source takes its target, and what can't be met is shortfall. The cheapest flow says how
 many tokens of each pattern go to each source; documents are then selected in a seeded order up to that many tokens.
 """
 
@@ -115,6 +115,13 @@ def min_cost_flow(capacity: dict[str, float], reach: dict[str, list[str]], quota
     return sent
 
 
+def documents(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, tokens) once per document and text, and (text_key, pattern). Rows without a source belong to neither."""
+    held = m.filter(F.col("source").isNotNull())
+    patterns = held.groupBy("text_key").agg(F.concat_ws("|", F.array_sort(F.collect_set("source"))).alias("pattern"))
+    return held.select("doc_id", "text_key", "tokens").distinct(), patterns
+
+
 def plan(m: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(report, routes) for measured documents.
 
@@ -130,7 +137,8 @@ def plan(m: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = size.filter(F.col("source").isin([g["source"] for g in goals])).collect()
     total = float(size.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     sizes = {r["source"]: float(r["tokens"]) for r in wanted}
-    texts = m.groupBy("text_key").agg(F.concat_ws("|", F.array_sort(F.collect_set("source"))).alias("pattern"), F.max("tokens").alias("tokens"))
+    docs, patterns = documents(m)
+    texts = docs.groupBy("text_key").agg(F.sum("tokens").alias("tokens")).join(patterns, "text_key")
     pats = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MAX_PATTERNS + 1).collect()
     if len(pats) > MAX_PATTERNS:
         raise ValueError("too many membership patterns for one flow")
@@ -151,18 +159,19 @@ def plan(m: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def select(m: DataFrame, routes: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, source, copies, tokens): one document of each distinct text, and how often it goes into the blend for which source.
+    """(doc_id, source, copies, tokens): how often each document goes into the blend for which source. Copies of a text under other ids are
+    documents of their own.
 
-    Within a pattern the texts stand in seeded order; each source takes a run of token positions of the pattern's texts laid end to end,
-    going round again for repetitions, so it gets its routed tokens up to the text at either end.
+    Within a pattern the documents stand in seeded order; each source takes a run of token positions of the pattern's documents laid end to
+    end, going round again for repetitions, so it gets its routed tokens up to the document at either end.
     """
-    texts = m.groupBy("text_key").agg(F.concat_ws("|", F.array_sort(F.collect_set("source"))).alias("pattern"), F.max("tokens").alias("tokens"), F.min("doc_id").alias("doc_id"))
-    texts = texts.filter((F.col("pattern") != "") & (F.col("tokens") > 0)).withColumn("u", F.xxhash64("text_key", F.lit(seed)))
-    laid = running_sum(texts, ["pattern"], ["u", "text_key"], F.col("tokens"), "upto", total="whole")
+    docs, patterns = documents(m)
+    docs = docs.filter(F.col("tokens") > 0).join(patterns, "text_key").filter(F.col("pattern") != "").withColumn("u", F.xxhash64("text_key", "doc_id", F.lit(seed)))
+    laid = running_sum(docs, ["pattern"], ["u", "text_key", "doc_id"], F.col("tokens"), "upto", total="whole")
     w = F.sum("tokens").over(_by_pattern())
     spans = routes.withColumn("hi", w).withColumn("lo", F.col("hi") - F.col("tokens")).select("pattern", "source", "lo", "hi")
     j = laid.join(F.broadcast(spans), "pattern")
-    # the text covers (upto - tokens, upto] + k * whole for k = 0, 1, ...: how many of these midpoints lie in [lo, hi)
+    # the document covers (upto - tokens, upto] + k * whole for k = 0, 1, ...: how many of these midpoints lie in [lo, hi)
     mid = F.col("upto") - F.col("tokens") / 2
     times = lambda x: F.greatest(F.ceil((x - mid) / F.col("whole")), F.lit(0))
     return j.select("doc_id", "source", (times(F.col("hi")) - times(F.col("lo"))).cast("int").alias("copies"), "tokens").filter("copies > 0")

@@ -344,6 +344,16 @@ def test_blend_reaches_targets(spark):
     assert picked.filter("source = 'forum' and copies > 1").count() == 0
 
 
+def test_copies_of_a_text_are_documents_of_the_blend(spark):
+    docs = [(k, "the same ten words stand in each of these documents", "wiki") for k in range(10)]
+    t = spark.createDataFrame([("wiki", 1.0, 1)], "source string, target_share double, max_repeats int")
+    m = p9_mixing.measured(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    report, routes = p9_mixing.plan(m, t)
+    r, picked = report.first(), p9_mixing.select(m, routes).collect()
+    assert not r.short and r.blended_tokens == r.capacity_tokens == r.size_tokens == sum(x.copies * x.tokens for x in picked)
+    assert sorted((x.doc_id, x.copies) for x in picked) == [(k, 1) for k in range(10)]
+
+
 # 10 --------------------------------------------------------------------------------------------------------------------------------------
 SCORER = p10_abuse.Scorer({w: 50.0 for w in "you are the your what shut up get lost this code is nobody here likes and a of to in branch table when read".split()})
 
