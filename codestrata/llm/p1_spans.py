@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,6 +76,14 @@ def anchors(text: str, span: int) -> list[tuple[int, int, int | None, int | None
     ]
 
 
+def anchor_rows(ids: Iterable[int], texts: Iterable[str], span: int) -> pd.DataFrame:
+    """(id, h, place, lk, rk) of the anchors of some texts. Keys are 64-bit integers all the way: a float between would round them."""
+    rows = [(i, *a) for i, t in zip(ids, texts) for a in anchors(t, span)]
+    i, h, place, lk, rk = zip(*rows) if rows else ((),) * 5
+    keys = lambda x: pd.arrays.IntegerArray(np.array([k or 0 for k in x], np.int64), np.array([k is None for k in x], bool))
+    return pd.DataFrame({"id": np.array(i, np.int64), "h": np.array(h, np.int64), "place": np.array(place, np.int32), "lk": keys(lk), "rk": keys(rk)})
+
+
 def shared_runs(pdf: pd.DataFrame, span: int, grid: int = 84) -> pd.DataFrame:
     """Runs between the pieces of one shard: columns h, piece, text, place (of the anchor in the text), role (0: index and query, 1: index, 2: query)."""
     pdf = pdf.sort_values(["h", "piece", "role"], kind="stable").reset_index(drop=True)
@@ -153,9 +161,7 @@ def spans(files: DataFrame, span: int = 400, shard_chars: int = 2_000_000, block
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *a) for i, t in zip(b.id, b.text) for a in anchors(t, span)]
-            df = pd.DataFrame(rows, columns=["id", "h", "place", "lk", "rk"])
-            yield df.astype({"lk": "Int64", "rk": "Int64", "id": "int64", "h": "int64", "place": "int32"})
+            yield anchor_rows(b.id, b.text, span)
 
     texts = files.select("id", "text").filter(F.col("id").isNotNull() & (F.char_length("text") >= span))
     found = spread(texts).mapInPandas(find, "id long, h long, place int, lk long, rk long")

@@ -8,6 +8,7 @@ import re
 import warnings
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,15 @@ def test_shared_spans_equal_brute_force(spark, block):
         assert got.get(i, 0) == len(covered)
 
 
+def test_context_keys_are_exact_beside_missing_ones():
+    texts = [words(random.Random(k), 90) for k in range(8)]
+    got = p1_spans.anchor_rows(range(8), texts, 400)
+    want = [(k, *a) for k, t in enumerate(texts) for a in p1_spans.anchors(t, 400)]
+    sent = [pa.Array.from_pandas(got[c]).to_pylist() for c in ("id", "h", "place", "lk", "rk")]
+    assert list(zip(*sent)) == want and any(None in x for x in want) and any(x[3] is not None for x in want)
+    assert len(p1_spans.anchor_rows([], [], 400)) == 0
+
+
 def test_spans_of_nothing(spark):
     runs, members = p1_spans.spans(spark.createDataFrame([], "id long, text string"))
     assert p1_spans.record_pairs(runs, members).count() == 0
