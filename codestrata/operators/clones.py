@@ -1,4 +1,4 @@
-"""Cloned code: winnowed token fingerprints, candidate diagonals, maximal runs."""
+"""Cloned code: normalised tokens, winnowed fingerprints, maximal runs on the diagonals of two texts."""
 
 from __future__ import annotations
 
@@ -6,32 +6,47 @@ from collections import deque
 from collections.abc import Iterator
 from hashlib import md5
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions.text import lines_of
-from codestrata.session import spread
-
-TOKEN = r"([A-Za-z_][A-Za-z_0-9]*|[0-9]+|[^\sA-Za-z_0-9])"
-
-
-def tokens(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, pos, tok, line): words, numbers (as N) and single signs of each line; positions count over the file from 1.
-
-    Positions come from the lines' token counts: one narrow window per file (a file is one row of the input, so that is bounded by a text)."""
-    ls = lines_of(files, [key]).select(key, "line", F.regexp_extract_all("text_line", F.lit(TOKEN), F.lit(1)).alias("ts"))
-    before = F.sum(F.size("ts")).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
-    ls = ls.withColumn("b", F.coalesce(before, F.lit(0))).select(key, "line", "b", F.posexplode("ts").alias("p", "t"))
-    return ls.select(key, (F.col("b") + F.col("p") + 1).alias("pos"), F.when(F.col("t").rlike("^[0-9]+$"), "N").otherwise(F.col("t")).alias("tok"), "line")
+from codestrata.session import cut, spread
+
+# Fixed: words that keep their own text when tokens are normalised; all other names become I, numbers N, strings S.
+KEYWORDS = (
+    "if elif else for while match break continue pass return class class_name extends is in as self signal func static const enum var await and or not true false null super def "
+    "from global import lambda nonlocal raise try except finally with yield assert async del None True False switch case default do function new let export type interface map "
+    "range go defer public private protected void nil this throw catch typeof instanceof of package struct chan select"
+).split()
+LITERAL = ["S", "N", ",", ":", "[", "]", "{", "}", "(", ")"]
+_STRING = r"\"(?:[^\"\\]|\\.)*\"?|'(?:[^'\\]|\\.)*'?"
+_REST = r"|[A-Za-z_][A-Za-z_0-9]*|[0-9][0-9A-Za-z_.]*|[^\sA-Za-z_0-9]"
+HASH_TOKEN = r"(#.*|" + _STRING + _REST + ")"
+SLASH_TOKEN = r"(//.*|/\*.*?\*/|`[^`]*`?|" + _STRING + _REST + ")"
+HASHED = r"\.(gd|py|rb|sh|bash)$"
+
+
+def normal(token: Column) -> Column:
+    """The normal form of a token."""
+    first = F.left(token, F.lit(1))
+    return (
+        F.when(first.isin('"', "'", "`"), "S").when(token.rlike("^[0-9]"), "N")
+        .when(token.rlike("^[A-Za-z_]") & ~token.isin(KEYWORDS), "I").otherwise(token)
+    )
 
 
 def token_arrays(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, toks, lines): the same as one row per file."""
+    """(repo, key, toks, lines), one row per file (repo, key, path, text): the normalised tokens of each line, comments left out, with their lines.
+    Strings and comments are read line by line. Null texts have none."""
     unified = F.regexp_replace("text", "\r\n?", "\n")
-    per = F.transform(F.split(unified, "\n"), lambda l, i: F.transform(F.regexp_extract_all(l, F.lit(TOKEN), F.lit(1)), lambda t: F.struct(F.when(t.rlike("^[0-9]+$"), "N").otherwise(t).alias("tok"), (i + 1).alias("line"))))
-    flat = spread(files.filter(F.col("text").isNotNull()).select(key, "text")).select(key, F.flatten(per).alias("x"))
-    return flat.select(key, F.col("x.tok").alias("toks"), F.col("x.line").alias("lines"))
+    hashed = F.col("path").rlike(HASHED)
+    # lower bound of a comment: its first characters
+    keep = lambda t: ~(F.when(hashed, t.startswith("#")).otherwise(t.startswith("//") | t.startswith("/*")))
+    find = lambda l: F.when(hashed, F.regexp_extract_all(l, F.lit(HASH_TOKEN), F.lit(1))).otherwise(F.regexp_extract_all(l, F.lit(SLASH_TOKEN), F.lit(1)))
+    per = F.transform(F.split(unified, "\n"), lambda l, i: F.transform(F.filter(find(l), keep), lambda t: F.struct(normal(t).alias("tok"), (i + 1).alias("line"))))
+    flat = spread(files.filter(F.col("text").isNotNull()).select("repo", key, "path", "text")).select("repo", key, F.flatten(per).alias("x"))
+    return flat.select("repo", key, F.col("x.tok").alias("toks"), F.col("x.line").alias("lines"))
 
 
 def winnow(toks: list[str], k: int, window: int) -> list[tuple[str, int]]:
@@ -55,58 +70,95 @@ def winnow(toks: list[str], k: int, window: int) -> list[tuple[str, int]]:
 
 
 def fingerprints(arrays: DataFrame, key: str = "file_id", k: int = 25, window: int = 10) -> DataFrame:
-    """(key, h, pos): the winnowed fingerprints of token arrays (key, toks). One pass over Arrow batches without a shuffle: array expressions
-    can say it too, but build every gram and every window as an array of its own (ten times slower here)."""
+    """(repo, key, h, pos): the winnowed fingerprints of token arrays (repo, key, toks). One pass over Arrow batches without a shuffle."""
     kind = dict(arrays.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, h, p) for i, t in zip(b[key], b.toks) for h, p in winnow(list(t), k, window)]
-            yield pd.DataFrame(rows, columns=[key, "h", "pos"])
-
-    return arrays.select(key, "toks").mapInPandas(run, f"{key} {kind}, h string, pos int")
-
+            rows = [(r, i, h, p) for r, i, t in zip(b.repo, b[key], b.toks) for h, p in winnow(list(t), k, window)]
+            yield pd.DataFrame(rows, columns=["repo", key, "h", "pos"])
+
+    return arrays.select("repo", key, "toks").mapInPandas(run, f"repo string, {key} {kind}, h string, pos int")
+
+
+def runs_of(x: np.ndarray, y: np.ndarray, lx: np.ndarray, ly: np.ndarray, same: bool, seeds: list[tuple[int, int]], k: int, shortest: int, rows: int = 6, literal: float = 0.62, kinds: int = 12) -> list[tuple]:
+    """(a_start, b_start, tokens, a_line, a_end_line, b_line, b_end_line, outermost) of two token arrays with seeds (shift, place in x from 0)."""
+    out = []
+    by_shift: dict[int, list[int]] = {}
+    for d, p in seeds:
+        by_shift.setdefault(d, []).append(p)
+    for d, places in by_shift.items():
+        lo, hi = max(0, -d), min(len(x), len(y) - d)
+        equal = np.concatenate([[False], x[lo:hi] == y[lo + d : hi + d], [False]])
+        breaks = np.flatnonzero(~equal) + lo - 1  # a run lies between two successive breaks
+        done = set()
+        for p in places:
+            j = int(np.searchsorted(breaks, p))
+            s, t = int(breaks[j - 1]) + 1, int(breaks[j])
+            if s in done or p + k > t:
+                continue
+            done.add(s)
+            n = min(t - s, d) if same else t - s
+            if n < shortest:
+                continue
+            part = x[s : s + n]
+            names, counts = np.unique(part, return_counts=True)
+            if counts[np.isin(names, LITERAL)].sum() > literal * n or len(names) < kinds or lx[s + n - 1] - lx[s] + 1 < rows:
+                continue
+            out.append((s + 1, s + d + 1, n, int(lx[s]), int(lx[s + n - 1]), int(ly[s + d]), int(ly[s + d + n - 1])))
+    out.sort(key=lambda r: (-r[2], r[0], r[1]))
+    kept: list[tuple] = []
+    done_rows = []
+    for r in out:
+        outer = not any(q[3] <= r[3] and r[4] <= q[4] and q[5] <= r[5] and r[6] <= q[6] for q in kept)
+        if outer:
+            kept.append(r)
+        done_rows.append((*r, outer))
+    return done_rows
+
+
+def clone_runs(arrays: DataFrame, key: str = "file_id", k: int = 25, window: int = 10, most: int = 12, shortest: int = 70) -> DataFrame:
+    """(repo, a, b, a_start, b_start, tokens, a_line, a_end_line, b_line, b_end_line, outermost): maximal runs of ``shortest`` or more equal tokens
+    between two texts of a repository (a < b) or two places of one (a = b), from token arrays (repo, key, toks, lines).
+
+    Fingerprints that stand 2 to ``most`` times in a repository seed the diagonals; those above ``most`` are boilerplate by the definition of a clone
+    here. A run within one file ends where its copy begins. Runs that are mostly literals, of fewer than 12 kinds of tokens or on fewer than six
+    lines are data, not logic. ``outermost``: not within a longer run of the same two files, by lines on both sides. A pair's two texts meet in one
+    row with all its seeds (bounded by the two texts), whatever the number of its diagonals.
+    """
+    arrays = cut(arrays)
+    kind = dict(arrays.dtypes)[key]
+    f = cut(fingerprints(arrays, key, k, window))
+    occ = f.groupBy("repo", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, most)).select("repo", "h")
+    f = f.join(occ, ["repo", "h"])
+    a = f.select("repo", "h", F.col(key).alias("a"), F.col("pos").alias("pa"))
+    b = f.select("repo", "h", F.col(key).alias("b"), F.col("pos").alias("pb"))
+    pairs = a.join(b, ["repo", "h"]).filter((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("pb") - F.col("pa") >= k)))
+    seeds = pairs.groupBy("repo", "a", "b").agg(F.collect_set(F.struct((F.col("pb") - F.col("pa")).alias("d"), (F.col("pa") - 1).alias("p"))).alias("seeds"))
+    ta = arrays.select("repo", F.col(key).alias("a"), F.col("toks").alias("x"), F.col("lines").alias("lx"))
+    tb = arrays.select("repo", F.col(key).alias("b"), F.col("toks").alias("y"), F.col("lines").alias("ly"))
+    d = seeds.join(ta, ["repo", "a"]).join(tb, ["repo", "b"])
+    names = ["a_start", "b_start", "tokens", "a_line", "a_end_line", "b_line", "b_end_line"]
 
-def clone_runs(files: DataFrame, key: str = "file_id", k: int = 25, window: int = 10, most: int = 12, shortest: int = 70) -> DataFrame:
-    """(a, b, a_start, b_start, tokens, a_lines): maximal runs of ``shortest`` or more equal tokens between two different files (a < b).
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r, i, j, s, x, lx, y, ly in zip(b.repo, b.a, b.b, b.seeds, b.x, b.lx, b.y, b.ly):
+                found = runs_of(np.asarray(x, str), np.asarray(y, str), np.asarray(lx), np.asarray(ly), i == j, [(q["d"], q["p"]) for q in s], k, shortest)
+                rows += [(r, i, j, *q) for q in found]
+            yield pd.DataFrame(rows, columns=["repo", "a", "b", *names, "outermost"])
 
-    Fingerprints that stand 2 to ``most`` times seed candidate diagonals (a, b, shift); on each diagonal the equal tokens are laid out and
-    cut into islands, and islands that a seed lies in are runs. Every run of ``shortest`` >= k + window - 1 tokens has seeds at each window;
-    fingerprints above ``most`` are left out as the definition of a clone here (boilerplate), not to save work.
-    """
-    arrays = token_arrays(files, key)
-    fp = fingerprints(arrays, key, k, window)
-    occ = fp.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, most)).select("h")
-    f = fp.join(occ, "h")
-    a = f.select("h", F.col(key).alias("a"), F.col("pos").alias("pa"))
-    b = f.select("h", F.col(key).alias("b"), F.col("pos").alias("pb"))
-    pairs = a.join(b, "h").filter(F.col("a") < F.col("b"))
-    diagonals = pairs.groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("shift")).agg(F.array_sort(F.collect_set("pa")).alias("at"))
-    ta = arrays.select(F.col(key).alias("a"), F.col("toks").alias("x"), F.col("lines").alias("lx"))
-    tb = arrays.select(F.col(key).alias("b"), F.col("toks").alias("y"))
-    d = diagonals.join(ta, "a").join(tb, "b")
-    lo = F.greatest(F.lit(1), 1 - F.col("shift"))
-    hi = F.least(F.size("x"), F.size("y") - F.col("shift"))
-    # breaks: positions where the diagonal's tokens differ; runs lie between successive breaks
-    breaks = F.filter(F.sequence(lo, hi), lambda i: F.element_at("x", i) != F.element_at("y", i + F.col("shift")))
-    edges = F.concat(F.array(lo - 1), breaks, F.array(hi + 1))
-    d = d.select("a", "b", "shift", "at", "lx", edges.alias("e"))
-    r = d.select("a", "b", "shift", "at", "lx", F.explode(F.zip_with(F.slice("e", F.lit(1), F.size("e") - 1), F.slice("e", F.lit(2), F.size("e") - 1), lambda p, q: F.struct((p + 1).alias("s"), (q - 1).alias("t")))).alias("r"))
-    r = r.filter((F.col("r.t") - F.col("r.s") + 1 >= shortest) & F.exists("at", lambda p: (p >= F.col("r.s")) & (p + (k - 1) <= F.col("r.t"))))
-    la, lb = F.element_at("lx", F.col("r.s")), F.element_at("lx", F.col("r.t"))
-    return r.select("a", "b", F.col("r.s").alias("a_start"), (F.col("r.s") + F.col("shift")).alias("b_start"), (F.col("r.t") - F.col("r.s") + 1).alias("tokens"), la.alias("a_line"), lb.alias("a_end_line"))
+    return d.select("repo", "a", "b", "seeds", "x", "lx", "y", "ly").mapInPandas(run, f"repo string, a {kind}, b {kind}, " + ", ".join(f"{n} int" for n in names) + ", outermost boolean")
 
 
 def outermost(runs: DataFrame) -> DataFrame:
-    """Runs that don't lie inside a longer (ties: earlier) run of the same pair of files on the a-side and the b-side."""
-    big = runs.select("a", "b", F.col("a_start").alias("s"), F.col("b_start").alias("u"), F.col("tokens").alias("n"))
-    inside = (
-        (F.col("s") <= F.col("a_start")) & (F.col("s") + F.col("n") >= F.col("a_start") + F.col("tokens")) & (F.col("u") <= F.col("b_start")) & (F.col("u") + F.col("n") >= F.col("b_start") + F.col("tokens"))
-        & ((F.col("n") > F.col("tokens")) | ((F.col("n") == F.col("tokens")) & ((F.col("s") < F.col("a_start")) | ((F.col("s") == F.col("a_start")) & (F.col("u") < F.col("b_start"))))))
-    )
-    return runs.join(big, (runs["a"] == big["a"]) & (runs["b"] == big["b"]) & inside, "left_anti")
+    """Runs that don't lie inside a longer run of the same pair of files on both sides."""
+    return runs.filter("outermost").drop("outermost")
 
 
 def duplicated_lines(runs: DataFrame) -> DataFrame:
-    """(file, dup_lines): distinct lines of the a-side that some run covers."""
-    return runs.select(F.col("a").alias("file"), F.explode(F.sequence("a_line", "a_end_line")).alias("line")).distinct().groupBy("file").agg(F.count(F.lit(1)).alias("dup_lines"))
+    """(repo, file, dup_lines): distinct lines of a file that some outermost run covers, on either side of it."""
+    o = outermost(runs)
+    a = o.select("repo", F.col("a").alias("file"), F.explode(F.sequence("a_line", "a_end_line")).alias("line"))
+    b = o.select("repo", F.col("b").alias("file"), F.explode(F.sequence("b_line", "b_end_line")).alias("line"))
+    return a.union(b).distinct().groupBy("repo", "file").agg(F.count(F.lit(1)).alias("dup_lines"))

@@ -532,39 +532,61 @@ def severity_rollup(s, d):
 
 
 # Clones -------------------------------------------------------------------------------------------------------------------------------
+_KEEP = ", ".join(f"'{w}'" for w in clones.KEYWORDS)
+_LIT = ", ".join(f"'{w}'" for w in clones.LITERAL)
 _TOKS = (
-    "tk AS (SELECT file_id, flatten(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda l: list_transform(regexp_extract_all(l, '" + clones.TOKEN.replace("'", "''") + "'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN 'N' ELSE x END))) AS toks FROM files WHERE text IS NOT NULL),"
-    " gr AS (SELECT file_id, i AS pos, md5(array_to_string(toks[i:i + 24], ' ')) AS h, len(toks) - 24 AS n FROM (SELECT file_id, toks, unnest(range(1, len(toks) - 23)) AS i FROM tk WHERE len(toks) >= 25)),"
-    " mn AS (SELECT file_id, pos, n, min(h || lpad(CAST(1000000000 - pos AS VARCHAR), 10, '0')) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m FROM gr),"
-    " fp AS (SELECT DISTINCT file_id, left(m, 32) AS h, 1000000000 - CAST(right(m, 10) AS INTEGER) AS pos FROM mn WHERE pos <= greatest(n - 9, 1))"
+    "ln AS (SELECT repo, file_id, path, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT repo, file_id, path, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM files WHERE text IS NOT NULL)),"
+    f" lt AS (SELECT repo, file_id, line, CASE WHEN regexp_matches(path, '{clones.HASHED}') THEN list_filter(regexp_extract_all(l, '{_sql_pattern(clones.HASH_TOKEN)}', 1), lambda x: NOT starts_with(x, '#'))"
+    f" ELSE list_filter(regexp_extract_all(l, '{_sql_pattern(clones.SLASH_TOKEN)}', 1), lambda x: NOT (starts_with(x, '//') OR starts_with(x, '/*'))) END AS ts FROM ln),"
+    " tp0 AS (SELECT repo, file_id, line, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM lt),"
+    f" tp AS (SELECT repo, file_id, line, row_number() OVER (PARTITION BY file_id ORDER BY line, i) AS pos, CASE WHEN left(t, 1) IN (chr(34), chr(39), chr(96)) THEN 'S' WHEN regexp_matches(t, '^[0-9]') THEN 'N' WHEN regexp_matches(t, '^[A-Za-z_]') AND t NOT IN ({_KEEP}) THEN 'I' ELSE t END AS tok FROM tp0),"
+    " tk AS (SELECT repo, file_id, list(tok ORDER BY pos) AS toks FROM tp GROUP BY ALL),"
+    " gr AS (SELECT repo, file_id, i AS pos, md5(array_to_string(toks[i:i + 24], ' ')) AS h, len(toks) - 24 AS n FROM (SELECT repo, file_id, toks, unnest(range(1, len(toks) - 23)) AS i FROM tk WHERE len(toks) >= 25)),"
+    " mn AS (SELECT repo, file_id, pos, n, min(h || lpad(CAST(1000000000 - pos AS VARCHAR), 10, '0')) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m FROM gr),"
+    " fp AS (SELECT DISTINCT repo, file_id, left(m, 32) AS h, 1000000000 - CAST(right(m, 10) AS INTEGER) AS pos FROM mn WHERE pos <= greatest(n - 9, 1))"
 )
 
 
-@query(f"WITH {_TOKS} SELECT file_id, h, pos FROM fp")
+def _arrays(s, d):
+    return clones.token_arrays(_t(s, d, "files"))
+
+
+@query(f"WITH {_TOKS} SELECT repo, file_id, h, pos FROM fp")
 def clone_winnow_fingerprints(s, d):
-    return clones.fingerprints(clones.token_arrays(_t(s, d, "files")))
+    return clones.fingerprints(_arrays(s, d))
 
 
 _RUNS = (
-    "oc AS (SELECT h FROM fp GROUP BY h HAVING count(*) BETWEEN 2 AND 12), fk AS (SELECT fp.* FROM fp JOIN oc USING (h)), sd AS (SELECT x.file_id AS a, y.file_id AS b, y.pos - x.pos AS sh, x.pos AS pa FROM fk x JOIN fk y ON x.h = y.h AND x.file_id < y.file_id), dg AS (SELECT DISTINCT a, b, sh FROM sd),"
-    " tp AS (SELECT file_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM tk), mt AS (SELECT a, b, sh, x.pos FROM dg JOIN tp x ON x.file_id = a JOIN tp y ON y.file_id = b AND y.pos = x.pos + sh AND y.tok = x.tok),"
-    " il AS (SELECT a, b, sh, pos, pos - row_number() OVER (PARTITION BY a, b, sh ORDER BY pos) AS i FROM mt), rn AS (SELECT a, b, sh, min(pos) AS s, max(pos) AS t FROM il GROUP BY a, b, sh, i HAVING count(*) >= 70)"
+    "oc AS (SELECT repo, h FROM fp GROUP BY repo, h HAVING count(*) BETWEEN 2 AND 12), fk AS (SELECT fp.* FROM fp JOIN oc USING (repo, h)),"
+    " sd AS (SELECT x.repo, x.file_id AS a, y.file_id AS b, y.pos - x.pos AS sh, x.pos AS pa FROM fk x JOIN fk y ON x.repo = y.repo AND x.h = y.h AND (x.file_id < y.file_id OR (x.file_id = y.file_id AND y.pos - x.pos >= 25))), dg AS (SELECT DISTINCT repo, a, b, sh FROM sd),"
+    " mt AS (SELECT dg.repo, a, b, sh, x.pos FROM dg JOIN tp x ON x.file_id = a JOIN tp y ON y.file_id = b AND y.pos = x.pos + sh AND y.tok = x.tok),"
+    " il AS (SELECT repo, a, b, sh, pos, pos - row_number() OVER (PARTITION BY a, b, sh ORDER BY pos) AS i FROM mt), r0 AS (SELECT repo, a, b, sh, min(pos) AS s, max(pos) AS t FROM il GROUP BY repo, a, b, sh, i),"
+    " r1 AS (SELECT repo, a, b, sh, s, CASE WHEN a = b THEN least(t - s + 1, sh) ELSE t - s + 1 END AS n FROM r0 WHERE EXISTS (SELECT 1 FROM sd WHERE sd.a = r0.a AND sd.b = r0.b AND sd.sh = r0.sh AND sd.pa >= r0.s AND sd.pa + 24 <= r0.t)),"
+    f" r2 AS (SELECT r1.*, toks[s:s + n - 1] AS part FROM r1 JOIN tk ON tk.file_id = a WHERE n >= 70), r3 AS (SELECT * FROM r2 WHERE len(list_filter(part, lambda x: x IN ({_LIT}))) <= 0.62 * n AND len(list_distinct(part)) >= 12),"
+    " rn AS (SELECT r3.repo, a, b, s AS a_start, s + sh AS b_start, n AS tokens, x1.line AS a_line, x2.line AS a_end_line, y1.line AS b_line, y2.line AS b_end_line FROM r3 JOIN tp x1 ON x1.file_id = a AND x1.pos = s JOIN tp x2 ON x2.file_id = a AND x2.pos = s + n - 1"
+    " JOIN tp y1 ON y1.file_id = b AND y1.pos = s + sh JOIN tp y2 ON y2.file_id = b AND y2.pos = s + sh + n - 1 WHERE x2.line - x1.line >= 5),"
+    " ot AS (SELECT * FROM rn r WHERE NOT EXISTS (SELECT 1 FROM rn q WHERE q.a = r.a AND q.b = r.b AND q.a_line <= r.a_line AND q.a_end_line >= r.a_end_line AND q.b_line <= r.b_line AND q.b_end_line >= r.b_end_line"
+    " AND (-q.tokens, q.a_start, q.b_start) < (-r.tokens, r.a_start, r.b_start)))"
 )
 
 
-@query(f"WITH {_TOKS}, {_RUNS} SELECT DISTINCT a, b, s AS a_start, s + sh AS b_start, t - s + 1 AS tokens FROM rn WHERE EXISTS (SELECT 1 FROM sd WHERE sd.a = rn.a AND sd.b = rn.b AND sd.sh = rn.sh AND sd.pa >= rn.s AND sd.pa + 24 <= rn.t)")
+def _clone_runs(s, d):
+    return clones.clone_runs(_arrays(s, d))
+
+
+@query(f"WITH {_TOKS}, {_RUNS} SELECT repo, a, b, a_start, b_start, tokens FROM rn")
 def clone_runs(s, d):
-    return clones.clone_runs(_t(s, d, "files")).select("a", "b", "a_start", "b_start", "tokens").distinct()
+    return _clone_runs(s, d).select("repo", "a", "b", "a_start", "b_start", "tokens")
 
 
-@query()
+@query(f"WITH {_TOKS}, {_RUNS} SELECT repo, a, b, a_line, a_end_line, b_line, b_end_line, tokens FROM ot")
 def clone_pairs_outermost(s, d):
-    return clones.outermost(clones.clone_runs(_t(s, d, "files")))
+    return clones.outermost(_clone_runs(s, d)).select("repo", "a", "b", "a_line", "a_end_line", "b_line", "b_end_line", "tokens")
 
 
-@query()
+@query(f"WITH {_TOKS}, {_RUNS}, dl AS (SELECT repo, a AS file, unnest(range(a_line, a_end_line + 1)) AS line FROM ot UNION SELECT repo, b, unnest(range(b_line, b_end_line + 1)) FROM ot) SELECT repo, file, count(*) AS dup_lines FROM dl GROUP BY ALL")
 def duplicated_lines(s, d):
-    return clones.duplicated_lines(clones.clone_runs(_t(s, d, "files")))
+    return clones.duplicated_lines(_clone_runs(s, d))
 
 
 # Graphs -------------------------------------------------------------------------------------------------------------------------------

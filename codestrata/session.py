@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,7 @@ def session(app: str = "codestrata", master: str | None = None, shuffle: int | N
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -50,6 +53,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
+        _clean_at_end(spark)
         return have
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -57,10 +61,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="codestrata-ck-")
     sc.setCheckpointDir(named)
-    return named
+    _clean_at_end(spark)
+    return sc.getCheckpointDir()
+
+
+_ending: set[str] = set()
+
+
+def _clean_at_end(spark: SparkSession) -> None:
+    app = spark.sparkContext.applicationId
+    if app not in _ending:
+        _ending.add(app)
+        atexit.register(_try_clean, spark)
+
+
+def _try_clean(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        clean(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that it is computed once and survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(True)
+    """``df`` written once as a table in the shared checkpoint folder and read back: its lineage ends there, lost executors cost nothing of it, and
+    its size is known to the optimiser. ``checkpoint()`` would compute the last stage twice. ``clean`` drops the tables."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Drops all tables that ``cut`` wrote in this session; DataFrames that rest on them can't be computed afterwards. Done at the session's end."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/cut-{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
