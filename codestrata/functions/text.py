@@ -113,6 +113,23 @@ def dirname(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def normal_path(path: Column) -> Column:
+    """The path without ``.``, empty and ``..`` parts; leading ``..`` that nothing precedes stay."""
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(F.concat(F.array(F.lit("..")), done), -1), F.lit("..")) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+
+
+def folders(path: Column) -> Column:
+    """All folders above a path."""
+    parts = F.split(path, "/")
+    return F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
 def extension(path: Column) -> Column:
     """Lower-case extension; empty without one."""
     base = basename(path)
@@ -154,6 +171,13 @@ def skip_reason(path: Column, bytes_: Column, has_nul: Column) -> Column:
     )
 
 
+# Fixed: words that say a sentence speaks of something that is gone.
+REMOVAL = (
+    r"(?i)\b(remov\w*|gone|delet\w*|dead|no longer|used to|replac\w*|renam\w*|retired|void|was|were|former\w*|previous\w*|old|historical|absent|dropped|parked|superseded|abandon\w*"
+    r"|becomes|became|moved|turned into|split|instead of|rather than|scrapped|cut|killed|dies|died|new)\b"
+)
+
+
 def glob_regex(glob: str) -> str:
     """A regular expression for a shell pattern (``*``, ``?``, ``[...]``), matching the whole string."""
     import fnmatch

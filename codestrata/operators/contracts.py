@@ -1,6 +1,6 @@
 """String contracts between files: what is sent, declared, read and written under a name, and what is missing on one side.
 
-All checks are anti-joins over a few plain relations: table_keys (table_id, key, handler, access, open), sends (table_id, key, file, line,
+All checks are anti-joins within a repository over a few plain relations: table_keys (repo, table_id, key, access, open, handled), sends (repo, table_id, key, file, line,
 payload), consumed / produced (key), signals, imports, paths.
 """
 
@@ -8,68 +8,98 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def unknown_keys(sends: DataFrame, table_keys: DataFrame, registered: DataFrame | None = None) -> DataFrame:
-    """Sends whose key the table does not know: (table_id, key, file, line, severity, id). Blank keys and keys registered at run time
-    (table_id, key) are fine; a key that would be indexed into a closed table is high, one that only misses a handler low."""
-    s = sends.filter(F.coalesce("key", F.lit("")) != "")
-    miss = s.join(table_keys.select("table_id", "key").distinct(), ["table_id", "key"], "left_anti")
-    if registered is not None:
-        miss = miss.join(registered.select("table_id", "key").distinct(), ["table_id", "key"], "left_anti")
-    t = table_keys.groupBy("table_id").agg(F.bool_or(F.col("access") == "index").alias("indexed"), F.bool_or("open").alias("open"))
-    j = miss.join(t, "table_id")
+def unknown_keys(sends: DataFrame, table_keys: DataFrame, registered: DataFrame | None = None, special: DataFrame | None = None) -> DataFrame:
+    """Sends whose key the table does not know: (repo, table_id, key, file, line, severity, id). Blank keys, keys registered at run time and keys
+    that a router compares with (repo, table_id, key) are fine. A key that would be indexed into a closed table is high; in another table with
+    handlers it is dropped, low; tables without handlers (repo, table_id, key, access, open, handled) drop nothing."""
+    on = ["repo", "table_id", "key"]
+    miss = sends.filter(F.trim(F.coalesce("key", F.lit(""))) != "").join(table_keys.select(*on).distinct(), on, "left_anti")
+    for fine in (registered, special):
+        if fine is not None:
+            miss = miss.join(fine.select(*on).distinct(), on, "left_anti")
+    t = table_keys.groupBy("repo", "table_id").agg(F.bool_or(F.col("access") == "index").alias("indexed"), F.bool_or("open").alias("open"), F.bool_or("handled").alias("handled"))
     high = F.col("indexed") & ~F.col("open")
-    return j.select("table_id", "key", "file", "line", F.when(high, "high").otherwise("low").alias("severity"), F.when(high, "contract.unknown-key").otherwise("contract.dropped-key").alias("id"))
+    j = miss.join(t, ["repo", "table_id"]).filter(high | F.col("handled"))
+    return j.select(*on, "file", "line", F.when(high, "high").otherwise("low").alias("severity"), F.when(high, "contract.unknown-key").otherwise("contract.dropped-key").alias("id"))
 
 
-def unsent_keys(sends: DataFrame, table_keys: DataFrame, literals: DataFrame | None = None, least: int = 3) -> DataFrame:
-    """(table_id, key) of tables with ``least`` sends that nobody sends, nor names as a literal elsewhere (key)."""
-    busy = sends.groupBy("table_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("table_id")
-    k = table_keys.select("table_id", "key").distinct().join(busy, "table_id", "left_semi")
-    k = k.join(sends.select("table_id", "key").distinct(), ["table_id", "key"], "left_anti")
-    return k.join(literals.select("key").distinct(), "key", "left_anti").select("table_id", "key") if literals is not None else k
+def unsent_keys(sends: DataFrame, table_keys: DataFrame, literals: DataFrame | None = None, registered: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """(repo, table_id, key) of tables with ``least`` sends that nobody sends or registers, nor names as a literal (repo, path, value) in another file
+    than the table's (``table_id`` starts with its path and two colons)."""
+    busy = sends.groupBy("repo", "table_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("repo", "table_id")
+    on = ["repo", "table_id", "key"]
+    k = table_keys.select(*on).distinct().join(busy, ["repo", "table_id"], "left_semi").join(sends.select(*on).distinct(), on, "left_anti")
+    if registered is not None:
+        k = k.join(registered.select(*on).distinct(), on, "left_anti")
+    if literals is None:
+        return k
+    # a literal stands in one file only, or in two different ones at least: that is all that has to be known of its places
+    l = literals.groupBy("repo", F.col("value").alias("key")).agg(F.min("path").alias("lo"), F.max("path").alias("hi"))  # noqa: E741
+    own = F.substring_index("table_id", "::", 1)
+    return k.join(l, ["repo", "key"], "left").filter(F.col("lo").isNull() | ((F.col("lo") == own) & (F.col("hi") == own))).select(*on)
 
 
 def payload_missing(sends: DataFrame, required: DataFrame) -> DataFrame:
-    """(table_id, key, file, line, missing, severity): payload keys that the handler reads hard (table_id, key, field, line, early_return) but a
-    send doesn't carry; low from tests, medium where the read follows an early return, high otherwise."""
-    need = required.groupBy("table_id", "key").agg(F.array_sort(F.collect_set("field")).alias("need"), F.min("early_return").alias("late"))
-    j = sends.join(need, ["table_id", "key"]).withColumn("missing", F.array_except("need", F.coalesce("payload", F.array().cast("array<string>")))).filter(F.size("missing") > 0)
-    sev = F.when(F.coalesce(F.col("role") == "test", F.lit(False)), "low").when(F.col("late"), "medium").otherwise("high")
-    return j.select("table_id", "key", "file", "line", F.array_sort("missing").alias("missing"), sev.alias("severity"))
-
-
-def dangling(consumed: DataFrame, produced: DataFrame, patterns: DataFrame | None = None, exempt: DataFrame | None = None) -> DataFrame:
-    """(key, reads, id): keys that are read (key, file, line, guarded) but never written (key). Keys that a composed-key pattern (pattern)
-    matches are fine: patterns are a short list from format strings. All reads guarded makes a dead branch, else a key never written."""
-    c = consumed.join(produced.select("key").distinct(), "key", "left_anti")
-    if exempt is not None:
-        c = c.join(exempt.select("key").distinct(), "key", "left_anti")
-    if patterns is not None:
-        keys = c.select("key").distinct()
-        hit = keys.join(F.broadcast(patterns.limit(10_000)), F.expr("key rlike pattern"), "left_semi")
-        c = c.join(hit, "key", "left_anti")
-    g = c.groupBy("key").agg(F.count(F.lit(1)).alias("reads"), F.bool_and("guarded").alias("guarded"))
-    return g.select("key", "reads", F.when(F.col("guarded"), "contract.dead-branch").otherwise("contract.key-never-written").alias("id"))
+    """(repo, table_id, key, file, line, missing, severity): payload keys that the handler reads hard (repo, table_id, key, field, line, returns) but a
+    send with a payload doesn't carry; low from tests (sends may have ``role``), medium where a return stands before the first such read, else high."""
+    need = required.groupBy("repo", "table_id", "key").agg(F.array_sort(F.collect_set(F.struct("field", "line"))).alias("need"), F.max("returns").alias("returns"))
+    j = sends.filter(F.col("payload").isNotNull()).join(need, ["repo", "table_id", "key"])
+    j = j.withColumn("gone", F.filter("need", lambda n: ~F.array_contains("payload", n["field"]))).filter(F.size("gone") > 0)
+    first = F.array_min(F.transform("gone", lambda n: n["line"]))
+    late = F.coalesce(F.exists("returns", lambda r: r < first), F.lit(False))
+    role = F.coalesce(F.col("role") == "test", F.lit(False)) if "role" in sends.columns else F.lit(False)
+    sev = F.when(role, "low").when(late, "medium").otherwise("high")
+    return j.select("repo", "table_id", "key", "file", "line", F.array_sort(F.array_distinct(F.transform("gone", lambda n: n["field"]))).alias("missing"), sev.alias("severity"))
+
+
+# Fixed: what stands for a value in a format string.
+PLACEHOLDER = r"%[sdfxi]|\{\w*\}"
 
 
 def composed_pattern(format_: Column) -> Column:
-    """A pattern for a format string with ``%s`` / ``%d`` / ``{}`` parts; null if it has none or nothing else."""
-    quoted = F.regexp_replace(format_, r"([.\\+*?\[\]^$()|])", r"\\$1")
-    p = F.regexp_replace(quoted, r"%[sd]|\{[^{}]*\}", ".+")
-    return F.when((p != quoted) & F.regexp_replace(p, r"\.\+", "").rlike("[A-Za-z]"), F.concat(F.lit("^"), p, F.lit("$")))
+    """A pattern for a format string with ``%s`` / ``%d`` / ``{}`` parts; null if it has none or is three characters or less."""
+    quoted = F.regexp_replace(F.regexp_replace(format_, r"([.\\+*?\[\]^$()|{}])", r"\\$1"), r"%[sdfxi]|\\\{\w*\\\}", ".+")
+    return F.when((F.char_length(format_) > 3) & format_.rlike(r"%[sdfx]|\{\}|\{\w+\}"), F.concat(F.lit("^"), quoted, F.lit("$")))
+
+
+def composable(keys: DataFrame, formats: DataFrame, size: int = 3) -> DataFrame:
+    """(repo, key) of keys (repo, key) that one of the format strings (repo, value) can have made. No format is forgotten and no key is held against
+    all formats: the first ``size`` characters of a format's longest literal piece must stand in the key, so formats and keys meet in an equi-join on
+    such pieces. Formats of placeholders alone only ask for a length."""
+    f = formats.select("repo", "value").distinct().withColumn("pattern", composed_pattern(F.col("value"))).filter(F.col("pattern").isNotNull())
+    pieces = F.split("value", PLACEHOLDER)
+    longest = F.element_at(F.array_sort(F.transform(pieces, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p")))), -1)["p"]
+    f = f.withColumns({"piece": F.left(longest, F.lit(size)), "holes": F.size(pieces) - 1})
+    k = keys.select("repo", "key").filter(F.col("key").isNotNull()).distinct()
+    n = F.char_length("key")
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring("key", i, w))))
+    e = k.select("repo", "key", F.explode(F.array_distinct(cuts)).alias("piece"))
+    hit = e.join(f.filter("piece <> ''").select("repo", "piece", "pattern"), ["repo", "piece"]).filter(F.expr("key rlike pattern")).select("repo", "key")
+    bare = f.filter("piece = ''").groupBy("repo").agg(F.min("holes").alias("holes"))
+    return hit.union(k.join(bare, "repo").filter(F.char_length("key") >= F.col("holes")).select("repo", "key")).distinct()
+
+
+def dangling(consumed: DataFrame, produced: DataFrame, formats: DataFrame | None = None) -> DataFrame:
+    """(repo, key, reads, id): keys that are read (repo, key, guarded) but never written (repo, key) nor composed from a format string (repo, value).
+    If all reads are guarded it is a dead branch, else a key never written."""
+    c = consumed.join(produced.select("repo", "key").distinct(), ["repo", "key"], "left_anti")
+    if formats is not None:
+        c = c.join(composable(c, formats), ["repo", "key"], "left_anti")
+    g = c.groupBy("repo", "key").agg(F.count(F.lit(1)).alias("reads"), F.bool_and("guarded").alias("guarded"))
+    return g.select("repo", "key", "reads", F.when(F.col("guarded"), "contract.dead-branch").otherwise("contract.key-never-written").alias("id"))
 
 
 def missing_members(refs: DataFrame, declared: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """References (class, member, file, line) to members that neither the class nor its ancestors (name, ancestor) declare (class, member).
-    Classes without any declaration here (engine types) are left out."""
-    up = ancestors.select(F.col("name").alias("class"), "ancestor").union(declared.select("class", F.col("class").alias("ancestor")).distinct())
-    known = up.join(declared.select(F.col("class").alias("ancestor"), "member").distinct(), "ancestor").select("class", "member").distinct()
-    own = declared.select("class").distinct()
-    return refs.join(own, "class", "left_semi").join(known, ["class", "member"], "left_anti").select("class", "member", "file", "line")
+    """References (repo, class, member, file, line) to members that neither the class nor its ancestors (repo, name, ancestor) declare (repo, class,
+    member). Classes without any declaration here (engine types) are left out."""
+    own = declared.select("repo", "class").distinct()
+    up = ancestors.select("repo", F.col("name").alias("class"), "ancestor").union(own.select("repo", "class", "class"))
+    known = up.join(declared.select("repo", F.col("class").alias("ancestor"), "member").distinct(), ["repo", "ancestor"]).select("repo", "class", "member").distinct()
+    return refs.join(own, ["repo", "class"], "left_semi").join(known, ["repo", "class", "member"], "left_anti").select("repo", "class", "member", "file", "line")
 
 
 def signal_state(declared: DataFrame, emitted: DataFrame, connected: DataFrame) -> DataFrame:
@@ -95,11 +125,12 @@ def resolve_first(wanted: DataFrame, candidates: Column, known: DataFrame, keep:
 
 
 def longest_prefix(modules: DataFrame, known: DataFrame) -> DataFrame:
-    """(module, target) by the longest dotted prefix of ``module`` that is a known dotted name (name, target)."""
+    """(repo, module, target) by the longest dotted prefix of ``module`` (repo, module) that is a known dotted name (repo, name, target)."""
     parts = F.split("module", r"\.")
-    e = modules.select("module").distinct().select("module", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, F.lit(1), n), ".").alias("name")))).alias("p"))
-    j = e.select("module", "p.n", "p.name").join(known.select("name", "target").distinct(), "name")
-    return j.groupBy("module").agg(F.max_by("target", F.col("n")).alias("target"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, F.lit(1), n), ".").alias("name")))
+    e = modules.select("repo", "module").distinct().select("repo", "module", F.explode(prefixes).alias("p"))
+    j = e.select("repo", "module", "p.n", "p.name").join(known.select("repo", "name", "target").distinct(), ["repo", "name"])
+    return j.groupBy("repo", "module").agg(F.max_by("target", F.col("n")).alias("target"))
 
 
 def stale_references(mentions: DataFrame, paths: DataFrame) -> DataFrame:
@@ -108,21 +139,25 @@ def stale_references(mentions: DataFrame, paths: DataFrame) -> DataFrame:
     return mentions.distinct().join(tails, "mention", "left_anti").select(*mentions.columns)
 
 
-def shared_strings(strings: DataFrame, scope_sizes: DataFrame, first: int = 8) -> DataFrame:
+def shared_strings(strings: DataFrame, scope_sizes: DataFrame, first: int = 8, block: int = 200) -> DataFrame:
     """(repo, a, b, n, weight, sample) of files that share strings (repo, path, value): strings in 2 to max(4, a fifth of the files) files count
     idf / (df - 1) each, idf = ln(n / df) / ln(n); the first ``first`` shared strings by name.
 
-    The cap on a string's files is part of the measure: common strings mean nothing. It also bounds the pairs a string makes.
+    The cap on a string's files is part of the measure: common strings mean nothing. A string's files are cut into blocks of about ``block``, and each
+    pair of blocks is a row of its own to be paired, so the pairs of one string are formed by many tasks; they are summed before the shuffle.
     """
     s = strings.select("repo", "path", "value").distinct()
     df = s.groupBy("repo", "value").agg(F.count(F.lit(1)).alias("df")).join(scope_sizes.select("repo", F.col("files").alias("n")), "repo")
     df = df.filter((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(4), F.floor(0.2 * F.col("n")))) & (F.col("df") <= F.col("n")) & (F.col("n") > 1))
-    df = df.select("repo", "value", (F.ln(F.col("n") / F.col("df")) / F.ln("n") / (F.col("df") - 1)).alias("w"))
-    k = s.join(df, ["repo", "value"])
-    a = k.select("repo", "value", "w", F.col("path").alias("a"))
-    b = k.select("repo", "value", F.col("path").alias("b"))
-    p = a.join(b, ["repo", "value"]).filter(F.col("a") < F.col("b"))
-    return p.groupBy("repo", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight"), F.slice(F.array_sort(F.collect_list("value")), 1, first).alias("sample"))
+    df = df.select("repo", "value", "df", (F.ln(F.col("n") / F.col("df")) / F.ln("n") / (F.col("df") - 1)).alias("w"))
+    k = s.join(df, ["repo", "value"]).withColumn("nb", F.ceil(F.col("df") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("path"), F.col("nb")).cast("int"))
+    e = k.select("repo", "value", "w", "path", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    g = e.groupBy("repo", "value", "w", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
+    g = g.agg(F.collect_list(F.when(F.col("mine") <= F.col("o"), F.col("path"))).alias("xs"), F.collect_list(F.when(F.col("mine") >= F.col("o"), F.col("path"))).alias("ys"))
+    p = g.select("repo", "value", "w", "ys", "i", "j", F.explode("xs").alias("x")).select("repo", "value", "w", "x", "i", "j", F.explode("ys").alias("y"))
+    p = p.filter((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).select("repo", "value", "w", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    sample = F.slice(F.array_sort(F.collect_list("value")), 1, first)
+    return p.groupBy("repo", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight"), sample.alias("sample"))
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
@@ -135,20 +170,14 @@ def enclosing(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return j.groupBy(key, "line").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("n"), "name")).alias("m")).select(key, "line", F.col("m.name").alias("name"))
 
 
+# Fixed: kinds of references that bind when a script is compiled.
+COMPILED = ["class", "autoload", "extends", "preload", "ext_resource", "scene-script"]
+
+
 def excluded_dependencies(edges: DataFrame, patterns: list[str]) -> DataFrame:
     """Compile-time edges (src, dst, kind) into files that an export pattern (regular expression) leaves out, from files it keeps."""
     out = lambda c: reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns]) if patterns else F.lit(False)
-    return edges.filter(F.col("kind").isin("class", "autoload", "extends", "preload", "ext_resource", "scene-script") & out(F.col("dst")) & ~out(F.col("src")))
-
-
-def forwarded(routes: DataFrame, forwards: DataFrame, rounds: int = 3) -> DataFrame:
-    """(fn, idx, table_id): parameters that reach a routing table, directly (fn, idx, table_id) or through ``rounds`` functions that pass a
-    parameter on: forwards (fn, idx, to_fn, to_idx)."""
-    known = routes.select("fn", "idx", "table_id").distinct()
-    for _ in range(rounds):
-        more = forwards.join(known.select(F.col("fn").alias("to_fn"), F.col("idx").alias("to_idx"), "table_id"), ["to_fn", "to_idx"]).select("fn", "idx", "table_id")
-        known = known.union(more).distinct()
-    return known
+    return edges.filter(F.col("kind").isin(COMPILED) & out(F.col("dst")) & ~out(F.col("src")))
 
 
 def by_severity(findings: DataFrame, scope: list[str]) -> DataFrame:
@@ -171,8 +200,3 @@ def with_evidence(findings: DataFrame, lines: DataFrame, width: int = 240) -> Da
     """Findings (.., file_id, line) with their source line, right-trimmed, ``width`` characters at most; null where there is no such line."""
     t = lines.select("file_id", "line", F.left(F.rtrim("text_line"), F.lit(width)).alias("evidence"))
     return findings.join(t, ["file_id", "line"], "left")
-
-
-def first_of(findings: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per ``keys``: the first in ``order``."""
-    return findings.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
-from codestrata.operators.ranking import running_sum
+from codestrata.operators.ranking import running_sum, running_sums
 from codestrata.session import cut
 
 MAX_FILES = 30
@@ -103,29 +103,27 @@ def rename_expansion(renames: DataFrame) -> DataFrame:
 
 
 def current_names(renames: DataFrame, hops: int = 50) -> DataFrame:
-    """(old, current): where a name ends up; the last rename of a name (by ``ord``) wins whenever it happened, at most ``hops`` steps.
+    """(repo, old, current): where a name (repo, ord, old, new) ends up; the last rename of a name wins whenever it happened, at most ``hops`` steps.
 
     Pointer doubling: each round joins the map with itself, so ``hops`` steps take log2(hops) joins.
     """
-    step = renames.groupBy("old").agg(F.max_by("new", "ord").alias("current")).withColumn("hops", F.lit(1))
+    step = renames.groupBy("repo", "old").agg(F.max_by("new", "ord").alias("current")).withColumn("hops", F.lit(1))
     reach = 1
     while reach < hops:
         step = cut(step)
-        nxt = step.select(F.col("old").alias("current"), F.col("current").alias("after"), F.col("hops").alias("more"))
-        j = step.join(nxt, "current", "left")
+        nxt = step.select("repo", F.col("old").alias("current"), F.col("current").alias("after"), F.col("hops").alias("more"))
+        j = step.join(nxt, ["repo", "current"], "left")
         go = F.col("after").isNotNull() & (F.col("hops") + F.col("more") <= hops)
-        step = j.select("old", F.when(go, F.col("after")).otherwise(F.col("current")).alias("current"), F.when(go, F.col("hops") + F.col("more")).otherwise(F.col("hops")).alias("hops"))
+        step = j.select("repo", "old", F.when(go, F.col("after")).otherwise(F.col("current")).alias("current"), F.when(go, F.col("hops") + F.col("more")).otherwise(F.col("hops")).alias("hops"))
         reach *= 2
-    return step.select("old", "current")
+    return step.select("repo", "old", "current")
 
 
 def prefix_state(commits: DataFrame, t: DataFrame) -> DataFrame:
     """(repo, ord, sha, commits, fixes, churn): the state of a repository after each of its commits."""
     lines = t.groupBy("sha").agg(F.sum("lines").alias("lines"))
     c = commits.join(lines, "sha", "left").select("repo", "ord", "sha", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce(F.col("subject").rlike(X.FIX_SUBJECT), F.lit(False)).cast("int").alias("fix"))
-    out = running_sum(c, ["repo"], ["ord", "sha"], F.lit(1), "commits")
-    out = running_sum(out, ["repo"], ["ord", "sha"], F.col("fix"), "fixes")
-    return running_sum(out, ["repo"], ["ord", "sha"], F.col("lines"), "churn").select("repo", "ord", "sha", "commits", "fixes", "churn")
+    return running_sums(c, ["repo"], ["ord", "sha"], {"commits": F.lit(1), "fixes": F.col("fix"), "churn": F.col("lines")}).select("repo", "ord", "sha", "commits", "fixes", "churn")
 
 
 def backtest(t: DataFrame, commits: DataFrame, ks: tuple[int, ...] = (5, 10), low: int = 2, high: int = 20) -> DataFrame:

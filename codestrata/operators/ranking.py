@@ -20,26 +20,32 @@ def _order(keys: list[str]) -> list[Column]:
     return [F.col(k[1:]).desc() if k.startswith("-") else F.col(k).asc() for k in keys]
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, total: str | None = None) -> DataFrame:
-    """``df`` with ``out`` = sum of ``value`` over the rows of the same group up to and including the current one.
+def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], totals: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with, for each name in ``values``, the sum of its value over the rows of the same group up to and including the current one: all sums in
+    one pass over one order.
 
     ``order``: column names, ``-name`` for descending. It should be total within a group; rows with equal keys get their sums in any order.
-    ``total``: also give the group's whole sum under this name. Null values count 0, null groups are one group; an empty input gives an
+    ``totals``: also give a group's whole sum of a name under another name. Null values count 0, null groups are one group; an empty input gives an
     empty output.
     """
-    parts = df.withColumn("__rs_v", F.coalesce(value, F.lit(0)))
-    parts = parts.repartitionByRange(*_order(group + order)).withColumn("__rs_p", F.spark_partition_id())
-    parts = cut(parts)
+    parts = df.withColumns({f"__rs_v_{k}": F.coalesce(v, F.lit(0)) for k, v in values.items()})
+    parts = cut(parts.repartitionByRange(*_order(group + order)).withColumn("__rs_p", F.spark_partition_id()))
     w = Window.partitionBy(*group, "__rs_p").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*group).orderBy("__rs_p").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = parts.groupBy(*group, "__rs_p").agg(F.sum("__rs_v").alias("__rs_s"))
-    pieces = pieces.withColumn("__rs_b", F.coalesce(F.sum("__rs_s").over(before), F.lit(0)))
-    if total:
-        pieces = pieces.withColumn(total, F.sum("__rs_s").over(Window.partitionBy(*group)))
-    pieces = pieces.select(*[F.col(g).alias(f"__rs_g_{g}") for g in group], F.col("__rs_p").alias("__rs_r_p"), "__rs_b", *([total] if total else []))
+    pieces = parts.groupBy(*group, "__rs_p").agg(*[F.sum(f"__rs_v_{k}").alias(f"__rs_s_{k}") for k in values])
+    pieces = pieces.withColumns({f"__rs_b_{k}": F.coalesce(F.sum(f"__rs_s_{k}").over(before), F.lit(0)) for k in values})
+    for k, name in (totals or {}).items():
+        pieces = pieces.withColumn(name, F.sum(f"__rs_s_{k}").over(Window.partitionBy(*group)))
+    pieces = pieces.select(*[F.col(g).alias(f"__rs_g_{g}") for g in group], F.col("__rs_p").alias("__rs_r_p"), *[f"__rs_b_{k}" for k in values], *(totals or {}).values())
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__rs_g_{g}")) for g in group] + [F.col("__rs_p") == F.col("__rs_r_p")])
-    res = parts.withColumn("__rs_c", F.sum("__rs_v").over(w)).join(pieces, same, "left").withColumn(out, F.col("__rs_c") + F.col("__rs_b"))
-    return res.drop("__rs_v", "__rs_p", "__rs_c", "__rs_b", "__rs_r_p", *[f"__rs_g_{g}" for g in group])
+    res = parts.withColumns({f"__rs_c_{k}": F.sum(f"__rs_v_{k}").over(w) for k in values}).join(pieces, same, "left")
+    res = res.withColumns({k: F.col(f"__rs_c_{k}") + F.col(f"__rs_b_{k}") for k in values})
+    return res.drop("__rs_p", "__rs_r_p", *[f"__rs_{x}_{k}" for k in values for x in "vcb"], *[f"__rs_g_{g}" for g in group])
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, total: str | None = None) -> DataFrame:
+    """``running_sums`` of a single value under the name ``out``."""
+    return running_sums(df, group, order, {out: value}, {out: total} if total else None)
 
 
 def value_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:

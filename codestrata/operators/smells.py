@@ -20,9 +20,9 @@ CHAT = (
 STUB = r"(?i)\b(placeholder|stub(bed)?|not (yet )?implemented|implement (this|me)|dummy (data|value|implementation)|fake (data|implementation)|hard-?coded for now|temporary (hack|fix|workaround))\b"
 TODO = r"\b(TODO|FIXME|XXX|HACK)\b"
 CODEISH = (
-    r"^\s*(func |var |const |if .*:$|elif |else:$|for .* in .*:|while .*:|return\b|match .*:|await |print\(|[A-Za-z_0-9.\[\]\"]+\s*[-+*/]?=\s*\S|[A-Za-z_0-9.]+\(.*\)\s*$|def |import |class [A-Za-z_0-9]+|let |function )"
+    r"^\s*(func |var |const |if .*:$|elif |else:$|for .* in .*:|while .*:|return\b|match .*:|await |print\(|[\w.\[\]\"]+\s*[-+*/]?=\s*\S|[\w.]+\(.*\)\s*$|def |import |class \w+|let |function )"
 )
-VERSIONED = r"(?i)(^|[_\-. ])(old|new|v[0-9]+|copy|backup|bak|final|tmp|temp|orig|deprecated|unused)([_\-. ]|$)|\([0-9]\)"
+VERSIONED = r"(?i)(^|[_\-. ])(old|new|v\d+|copy|backup|bak|final|tmp|temp|orig|deprecated|unused)([_\-. ]|$)|\(\d\)"
 IGNORES = r"eslint-disable|@ts-(ignore|nocheck|expect-error)|#\s*noqa|#\s*type:\s*ignore|#\s*pylint:\s*disable|#\s*nosec|@SuppressWarnings|#pragma warning disable"
 PRINTS = r"\b(print|prints|print_debug|console\.log)\("
 
@@ -41,12 +41,13 @@ def marker_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(n(ELISION, is_c).alias("elision"), n(CHAT, is_c).alias("chat"), n(STUB, is_c).alias("stub"), n(TODO, is_c).alias("todo"), n(IGNORES).alias("ignores"), n(PRINTS).alias("prints"))
 
 
-def commented_code(lines: DataFrame, key: str, least: int = 3) -> DataFrame:
+def commented_code(lines: DataFrame, key: str | list[str], least: int = 3) -> DataFrame:
     """(key, first_line, n): runs of ``least`` or more successive comment lines that look like code; documentation comments break a run.
     A file's lines are ordered within the file (bounded by one text)."""
-    c = comment_lines(lines).filter(~F.col("is_doc") & F.col("body").rlike(CODEISH)).select(key, "line")
-    island = F.col("line") - F.row_number().over(Window.partitionBy(key).orderBy("line"))
-    return c.withColumn("i", island).groupBy(key, "i").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(key, "first_line", "n")
+    keys = [key] if isinstance(key, str) else key
+    c = comment_lines(lines).filter(~F.col("is_doc") & F.col("body").rlike(CODEISH)).select(*keys, "line")
+    island = F.col("line") - F.row_number().over(Window.partitionBy(*keys).orderBy("line"))
+    return c.withColumn("i", island).groupBy(*keys, "i").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(*keys, "first_line", "n")
 
 
 def versioned(files: DataFrame) -> DataFrame:
@@ -56,9 +57,9 @@ def versioned(files: DataFrame) -> DataFrame:
 
 
 def fenced(files: DataFrame) -> DataFrame:
-    """(file_id, line): the first Markdown fence in source files other than Python and Markdown."""
-    l = X.lines_of(files.filter(~F.col("path").rlike(r"\.(md|py)$")), ["file_id", "path"])  # noqa: E741
-    return l.filter(F.col("text_line").rlike(r"^\s*```")).groupBy("file_id").agg(F.min("line").alias("line"))
+    """(repo, path, line): the first Markdown fence in source files (repo, path, text) other than Python and Markdown."""
+    l = X.lines_of(files.filter(~F.col("path").rlike(r"\.(md|py)$")), ["repo", "path"])  # noqa: E741
+    return l.filter(F.col("text_line").rlike(r"^\s*```")).groupBy("repo", "path").agg(F.min("line").alias("line"))
 
 
 def scattered_constants(literals: DataFrame, least: int = 3) -> DataFrame:

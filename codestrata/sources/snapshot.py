@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 
 import pandas as pd
@@ -33,14 +34,61 @@ def _utf8():
     return decode
 
 
+def _git(root: str, *args: str, feed: bytes | None = None) -> bytes:
+    return subprocess.run(["git", "-C", root, *args], input=feed, capture_output=True, check=True).stdout
+
+
+def ref_info(root: str, ref: str = "HEAD") -> dict:
+    """Of a commit: sha, parent (none for the first), branch that holds it (the first by name), subject and time."""
+    sha = _git(root, "rev-parse", ref).decode().strip()
+    subject, ts, parents = _git(root, "log", "-1", "--format=%s%x1f%ct%x1f%P", sha).decode().strip("\n").split("\x1f")
+    names = sorted(_git(root, "branch", "--contains", sha, "--format=%(refname:short)").decode().split("\n"))
+    return {"sha": sha, "parent": parents.split(" ")[0] or None, "branch": next((n for n in names if n and not n.startswith("(")), ""), "subject": subject, "ts": int(ts)}
+
+
+def at_ref(spark: SparkSession, root: str, ref: str = "HEAD", repo: str = "-", batch: int = 500) -> tuple[DataFrame, DataFrame, str]:
+    """(files(repo, path, text), skipped(repo, path, why), sha) of a repository at any commit, without checking it out.
+
+    The driver only lists the tree; the blobs are read by tasks, ``batch`` of them a call, from the repository's folder, which executors must share.
+    Skipped directories, binary extensions and sizes are decided from the listing, a NUL in the first 8,000 bytes from the blob.
+    """
+    sha = _git(root, "rev-parse", ref).decode().strip()
+    rows = []
+    for entry in _git(root, "ls-tree", "-r", "-z", "--long", sha).split(b"\0"):
+        meta, _, path = entry.partition(b"\t")
+        kind = meta.split()
+        if len(kind) == 4 and kind[1] == b"blob":
+            rows.append((path.decode("utf-8", "replace"), kind[2].decode(), int(kind[3]) if kind[3].isdigit() else 0))
+    listing = spark.createDataFrame(rows, "path string, blob string, size long").withColumn("why", X.skip_reason(F.col("path"), F.col("size"), F.lit(False)))
+
+    def read(batches):
+        for b in batches:
+            for k in range(0, len(b), batch):
+                part = b.iloc[k : k + batch]
+                data, at, out = _git(root, "cat-file", "--batch", feed="".join(x + "\n" for x in part.blob).encode()), 0, []
+                for path in part.path:
+                    eol = data.index(b"\n", at)
+                    size = int(data[at:eol].split()[2])
+                    blob = data[eol + 1 : eol + 1 + size]
+                    at = eol + 2 + size
+                    nul = b"\0" in blob[:8000]
+                    out.append((path, None if nul else blob.decode("utf-8", "replace"), "binary" if nul else None))
+                yield pd.DataFrame(out, columns=["path", "text", "why"])
+
+    got = listing.filter("why is null").mapInPandas(read, "path string, text string, why string")
+    name = F.lit(repo).alias("repo")
+    skipped = listing.filter("why is not null").select(name, "path", "why").union(got.filter("why is not null").select(name, "path", "why"))
+    return got.filter("why is null").select(name, "path", "text"), skipped, sha
+
+
 LOG_FORMAT = "%x1e%H%x1f%at%x1f%an%x1f%s%x1f%b%x1f"
 
 
-def write_log(root: str, target: str, limit: int = 5000) -> str:
-    """Writes a repository's log (oldest first, no merges, renames followed) to a text file that ``read_log`` reads."""
-    out = subprocess.run(["git", "-C", root, "log", "--reverse", "--no-merges", "-M", "--numstat", f"-n{limit}", f"--format={LOG_FORMAT}"], capture_output=True, check=True)
+def write_log(root: str, target: str, ref: str = "HEAD", limit: int = 5000) -> str:
+    """Writes a repository's log up to a commit (its last ``limit`` commits, oldest first, no merges, renames followed) to a text file that ``read_log``
+    reads; git writes the file itself."""
     with open(target, "wb") as f:
-        f.write(out.stdout)
+        subprocess.run(["git", "-C", root, "log", ref, "--reverse", "--no-merges", "-M", "--numstat", f"-n{limit}", f"--format={LOG_FORMAT}"], stdout=f, check=True)
     return target
 
 
@@ -56,25 +104,27 @@ def read_log(spark: SparkSession, path: str, repo: str = "") -> tuple[DataFrame,
 
     moved = rename_expansion(files.filter(F.contains("spec", F.lit(" => "))))
     plain = files.filter(~F.contains("spec", F.lit(" => "))).select(F.lit(repo).alias("repo"), "sha", F.col("spec").alias("path"), "added", "deleted")
-    return commits, plain.unionByName(moved.select(F.lit(repo).alias("repo"), "sha", F.col("new").alias("path"), "added", "deleted")), moved.select("sha", "ord", "old", "new")
-
-
-def json_keys(texts: DataFrame, most: int = 400_000, depth: int = 64) -> DataFrame:
-    """(path, key): every object key at any depth of JSON texts (path, text) up to ``most`` characters; invalid texts have none. One round of
-    ``variant_explode`` per level of nesting."""
-    from functools import reduce
-
-    level = texts.filter(F.char_length("text") < most).select("path", F.try_parse_json("text").alias("v")).filter(F.col("v").isNotNull())
-    found = []
-    for _ in range(depth):
-        view = f"__json_level_{id(texts)}"
-        level.createOrReplaceTempView(view)
-        kids = level.sparkSession.sql(f"SELECT path, e.key AS key, e.value AS v FROM {view}, LATERAL variant_explode(v) AS e")
-        found.append(kids.filter(F.col("key").isNotNull()).select("path", "key"))
-        level = kids.select("path", "v").filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-        if level.isEmpty():
-            break
-    return reduce(DataFrame.union, found).distinct()
+    return commits, plain.unionByName(moved.select(F.lit(repo).alias("repo"), "sha", F.col("new").alias("path"), "added", "deleted")), moved.select(F.lit(repo).alias("repo"), "sha", "ord", "old", "new")
+
+
+def json_keys(texts: DataFrame, most: int = 400_000) -> DataFrame:
+    """(repo, path, key): every object key at any depth of JSON texts (repo, path, text) under ``most`` characters (part of the definition); invalid
+    texts have none. One pass over Arrow batches: each text is read once, however deep it nests."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for repo, path, text in zip(b.repo, b.path, b.text):
+                keys: set[str] = set()
+                try:
+                    json.loads(text, object_pairs_hook=lambda pairs: keys.update(k for k, _ in pairs))
+                except (ValueError, RecursionError):
+                    continue
+                rows += [(repo, path, k) for k in sorted(keys)]
+            yield pd.DataFrame(rows, columns=["repo", "path", "key"])
+
+    t = texts.filter(F.col("text").isNotNull() & (F.char_length("text") < most)).select("repo", "path", "text")
+    return t.mapInPandas(run, "repo string, path string, key string")
 
 
 def write_json(df: DataFrame, target: str) -> None:

@@ -11,7 +11,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from codestrata.session import session
 
-    s = session("tests", "local[4]", 4)
+    s = session("tests", "local[4]", 2)
+    # tiny tables: compiling plans would cost more than running them
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
+    s.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codestrata-tests-"))
     yield s
