@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
 from codestrata.operators import clones, contracts, documents, graph, history, retrieval, scoring, smells
-from codestrata.operators.ranking import rank_over
 from codestrata.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,14 +138,15 @@ def rename_expansion(s, d):
     " SELECT old, max_by(cur, i) AS current FROM r GROUP BY old"
 )
 def rename_alias_closure(s, d):
-    return history.current_names(history.rename_expansion(s.createDataFrame(_RENAMES, "ord int, spec string")))
+    return history.current_names(history.rename_expansion(s.createDataFrame(_RENAMES, "ord int, spec string").withColumn("repo", F.lit("r")))).select("old", "current")
 
 
+_PYTHON_IMPORT, _SCRIPT_IMPORT = r"^\s*(?:from|import)\s+(\.*[A-Za-z_][A-Za-z_0-9.]*)", r"(?:from|import|require\()\s*[\"'](\.[^\"']+)[\"']"
 _IMPORTS = (
     r"""l AS (SELECT repo, path, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line FROM files WHERE regexp_matches(path, '\.(js|ts|py)$')),"""
-    r""" w AS (SELECT DISTINCT repo, path, CASE WHEN path LIKE '%.py' THEN regexp_extract(line, '^from ([A-Za-z_][A-Za-z_0-9]*) import ', 1) ELSE regexp_extract(line, '^import .* from "\./([A-Za-z_0-9]+)"', 1) END AS spec FROM l),"""
-    r""" i AS (SELECT repo, path, spec, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM w WHERE spec <> ''),"""
-    r""" n AS (SELECT repo, path, spec, unnest(CASE WHEN path LIKE '%.py' THEN [dir || '/' || spec || '.py', spec || '.py'] ELSE [dir || '/' || spec || '.ts', dir || '/' || spec || '.js'] END) AS cand, unnest([1, 2]) AS pref FROM i),"""
+    f" w AS (SELECT DISTINCT repo, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, CASE WHEN path LIKE '%.py' THEN regexp_extract(line, '{_PYTHON_IMPORT}', 1) ELSE regexp_extract(line, '{_SCRIPT_IMPORT.replace(chr(39), chr(39) * 2)}', 1) END AS spec FROM l),"
+    r""" i AS (SELECT *, CASE WHEN path LIKE '%.py' THEN regexp_replace(ltrim(spec, '.'), '\.', '/', 'g') ELSE regexp_replace(spec, '^\./', '') END AS rel FROM w WHERE spec <> '' AND NOT regexp_matches(spec, '^\.\./')),"""
+    r""" n AS (SELECT repo, path, spec, unnest(CASE WHEN path LIKE '%.py' THEN [dir || '/' || rel || '.py', rel || '.py', regexp_replace(dir, '[^/]*$', '') || rel || '.py'] ELSE [dir || '/' || rel || '.ts', dir || '/' || rel || '.js', dir || '/' || rel] END) AS cand, unnest([1, 2, 3]) AS pref FROM i),"""
     r""" e AS (SELECT n.repo, n.path AS src, min_by(cand, pref) AS dst, spec FROM n JOIN files f ON f.repo = n.repo AND f.path = cand GROUP BY n.repo, n.path, spec)"""
 )
 
@@ -154,23 +154,26 @@ _IMPORTS = (
 def _imports(s, d):
     l = X.lines_of(_t(s, d, "files").filter(F.col("path").rlike(r"\.(js|ts|py)$")), ["repo", "path"])  # noqa: E741
     py = F.col("path").endswith(".py")
-    spec = F.when(py, F.regexp_extract("text_line", r"^from ([A-Za-z_][A-Za-z_0-9]*) import ", 1)).otherwise(F.regexp_extract("text_line", r'^import .* from "\./([A-Za-z_0-9]+)"', 1))
-    return l.select("repo", "path", spec.alias("spec")).filter("spec <> ''").distinct()
+    spec = F.when(py, F.regexp_extract("text_line", _PYTHON_IMPORT, 1)).otherwise(F.regexp_extract("text_line", _SCRIPT_IMPORT, 1))
+    return l.select("repo", "path", spec.alias("spec")).filter("spec <> '' and not startswith(spec, '../')").distinct()
 
 
 def _import_edges(s, d):
-    dir_ = X.dirname(F.col("path"))
-    cand = F.when(F.col("path").endswith(".py"), F.array(F.concat(dir_, F.lit("/"), "spec", F.lit(".py")), F.concat("spec", F.lit(".py")))).otherwise(F.array(F.concat(dir_, F.lit("/"), "spec", F.lit(".ts")), F.concat(dir_, F.lit("/"), "spec", F.lit(".js"))))
+    dir_, py = X.dirname(F.col("path")), F.col("path").endswith(".py")
+    rel = F.when(py, F.regexp_replace(F.regexp_replace("spec", r"^\.+", ""), r"\.", "/")).otherwise(F.regexp_replace("spec", r"^\./", ""))
+    here, up = F.concat(dir_, F.lit("/"), rel), F.concat(F.regexp_replace(dir_, "[^/]*$", ""), rel)
+    cand = F.when(py, F.array(F.concat(here, F.lit(".py")), F.concat(rel, F.lit(".py")), F.concat(up, F.lit(".py")))).otherwise(F.array(F.concat(here, F.lit(".ts")), F.concat(here, F.lit(".js")), here))
     i = _imports(s, d).select("repo", F.col("path").alias("src"), "spec", cand.alias("cand"))
     return contracts.resolve_first(i, F.col("cand"), _t(s, d, "files"), ["repo", "src", "spec"]).withColumnRenamed("path", "dst")
 
 
-@query(f"WITH {_IMPORTS} SELECT repo, src, spec, dst FROM e")
-def import_edges(s, d):
-    return _import_edges(s, d)
+@query(f"WITH {_IMPORTS} SELECT i.repo, path AS src, i.spec, dst FROM (SELECT DISTINCT repo, path, spec FROM i) i LEFT JOIN e ON e.repo = i.repo AND e.src = path AND e.spec = i.spec")
+def import_targets(s, d):
+    """Every import with the file it names, null where it names none."""
+    return _imports(s, d).withColumnRenamed("path", "src").join(_import_edges(s, d), ["repo", "src", "spec"], "left")
 
 
-@query(f"WITH {_IMPORTS} SELECT repo, path AS src, spec FROM i ANTI JOIN (SELECT repo, src AS path, spec FROM e) USING (repo, path, spec)")
+@query(f"WITH {_IMPORTS} SELECT DISTINCT repo, path AS src, spec FROM i ANTI JOIN (SELECT repo, src AS path, spec FROM e) USING (repo, path, spec)")
 def broken_imports(s, d):
     used = _imports(s, d).withColumnRenamed("path", "src")
     return contracts.not_there(used, _import_edges(s, d), ["repo", "src", "spec"])
@@ -237,18 +240,48 @@ def secret_controllers(s, d):
     return scoring.secret_controllers(_metrics(s, d)).select("file_id", "repo", "path", "fan_in", "loc")
 
 
-_RISK_SCORE = (
-    "100 / 1.0 * (0.24 * (0.5 * pp) + 0.06 * least(1, fan_in / 15) + 0.12 * (0.6 * least(1, loc / 700)) + 0.12 * CASE WHEN v > 0 THEN cp ELSE 0 END + 0.12 * 1)"
+_LEAN = (
+    "e AS (SELECT repo, a AS src, b AS dst, conf_ab AS w FROM q WHERE n >= 2 AND conf_ab >= 0.5 UNION ALL SELECT repo, b, a, conf_ba FROM q WHERE n >= 2 AND conf_ba >= 0.5), nd AS (SELECT DISTINCT repo, path AS node FROM files)"
+)
+_GRAPH = f"{_T}, {_PAIRS}, {_LEAN}"
+_REACH = "rc AS (SELECT DISTINCT repo, src, dst FROM e UNION SELECT rc.repo, rc.src, e.dst FROM rc JOIN e ON e.repo = rc.repo AND e.src = rc.dst)"
+
+
+def _lean(s, d):
+    """(repo, src, dst, w): src changes together with dst in half of its commits or more, twice at least: what leans on what."""
+    p = _pairs(s, d).filter("n >= 2")
+    a = p.select("repo", F.col("a").alias("src"), F.col("b").alias("dst"), F.col("conf_ab").alias("w"))
+    return a.union(p.select("repo", "b", "a", "conf_ba")).filter("w >= 0.5")
+
+
+def _nodes(s, d):
+    return _t(s, d, "files").select("repo", F.col("path").alias("node")).distinct()
+
+
+_HIDDEN = (
+    "o AS (SELECT repo, a, b, n, conf_ab, conf_ba FROM q WHERE n >= 3 AND n_small >= 2 AND weight >= 0.6), b2 AS (SELECT repo, a AS path, b AS partner, conf_ab AS confidence FROM o UNION ALL SELECT repo, b, a, conf_ba FROM o),"
+    " hd AS (SELECT repo, path, least(6, count(*)) AS hidden FROM b2 WHERE confidence >= 0.5 GROUP BY ALL)"
 )
 
 
 @query(
-    f"WITH {_LATEST}, x AS (SELECT file_id, repo, path, coalesce(fan_in, 0) AS fan_in, coalesce(loc, 0) AS loc, coalesce(pagerank, 0) AS p, coalesce(churn_commits, 0) AS v, 0 AS z FROM m), y AS (SELECT *, {_PCT.format('p')} AS pp, {_PCT.format('v')} AS cp FROM x),"
-    f" w AS (SELECT file_id, repo, path, 100 * (0.24 * (0.5 * pp + 0.5 * CASE WHEN count(*) OVER (PARTITION BY repo) > 1 THEN 1 ELSE 0 END) + 0.06 * least(1, fan_in / 15) + 0.12 * 0.6 * least(1, loc / 700) + 0.12 * CASE WHEN v > 0 THEN cp ELSE 0 END + 0.12) AS sc FROM y)"
-    " SELECT file_id, repo, path, round(sc / 1.0, 4) AS score, CASE WHEN sc >= 62 THEN 'do-not-touch' WHEN sc >= 45 THEN 'careful' ELSE 'normal' END AS tier FROM w"
+    f"WITH RECURSIVE {_LATEST}, {_GRAPH}, {_REACH}, {_HIDDEN}, rr AS (SELECT repo, dst AS path, count(*) AS reach FROM rc WHERE src <> dst GROUP BY ALL), lf AS (SELECT file_id, max(end_line - line + 1) AS longest FROM (SELECT DISTINCT * FROM funcs) GROUP BY file_id),"
+    " sv AS (SELECT DISTINCT file_id FROM files WHERE contains(text, 'user://') OR contains(text, 'writeFile')),"
+    " x AS (SELECT m.file_id, m.repo, m.path, coalesce(fan_in, 0) AS fan_in, coalesce(loc, 0) AS loc, coalesce(pagerank, 0) AS p, coalesce(churn_commits, 0) AS v, coalesce(reach, 0) AS re, coalesce(longest, 0) AS longest, coalesce(hidden, 0) AS hidden, sv.file_id IS NOT NULL AS saves"
+    " FROM m LEFT JOIN rr ON rr.repo = m.repo AND rr.path = m.path LEFT JOIN hd ON hd.repo = m.repo AND hd.path = m.path LEFT JOIN lf ON lf.file_id = m.file_id LEFT JOIN sv ON sv.file_id = m.file_id),"
+    f" y AS (SELECT *, {_PCT.format('p')} AS pp, {_PCT.format('re')} AS rp, {_PCT.format('v')} AS cp FROM x),"
+    " w AS (SELECT file_id, repo, path, greatest(CASE WHEN saves THEN 72 ELSE 0 END, 100 * (0.24 * (0.5 * pp + 0.5 * rp) + 0.06 * least(1, fan_in / 15) + 0.12 * (0.6 * least(1, loc / 700) + 0.4 * least(1, longest / 120)) + 0.12 * CASE WHEN v > 0 THEN cp ELSE 0 END + 0.12 + 0.12 * CASE WHEN saves THEN 1 ELSE 0 END + 0.08 * least(1, hidden / 3))) AS sc FROM y)"
+    " SELECT file_id, repo, path, round(sc, 4) AS score, CASE WHEN sc >= 62 THEN 'do-not-touch' WHEN sc >= 45 THEN 'careful' ELSE 'normal' END AS tier FROM w"
 )
 def risk_rank_tiers(s, d):
-    return scoring.risk(_metrics(s, d)).select("file_id", "repo", "path", F.round("score", 4).alias("score"), "tier")
+    """Risk from measured rank, links, size and churn, longest functions, reach and hidden partners of the log, and texts that save data."""
+    m = _metrics(s, d)
+    reach = graph.reach_counts(_lean(s, d), _nodes(s, d)).select("repo", F.col("node").alias("path"), "reach")
+    hidden = history.hidden_partners(_pairs(s, d), s.createDataFrame([], "repo string, src string, dst string")).groupBy("repo", "path").agg(F.count(F.lit(1)).alias("hidden"))
+    longest = _t(s, d, "funcs").groupBy("file_id").agg(F.max(F.col("end_line") - F.col("line") + 1).alias("longest_func"))
+    saves = _t(s, d, "files").filter(F.contains("text", F.lit("user://")) | F.contains("text", F.lit("writeFile"))).select("file_id", F.lit(True).alias("persists")).distinct()
+    m = m.join(reach, ["repo", "path"], "left").join(hidden, ["repo", "path"], "left").join(longest, "file_id", "left").join(saves, "file_id", "left")
+    return scoring.risk(m).select("file_id", "repo", "path", F.round("score", 4).alias("score"), "tier")
 
 
 # Paths, roles, words ------------------------------------------------------------------------------------------------------------------
@@ -266,18 +299,19 @@ def language_and_role(s, d):
 
 
 @query(
-    "WITH p AS (SELECT DISTINCT path FROM commit_files WHERE path IS NOT NULL), x AS (SELECT path, string_split(path, '/')[:-2] AS ps, "
+    "WITH p AS (SELECT c.repo, c.path, coalesce(max(strlen(text)), 0) AS bytes, coalesce(bool_or(contains(text, chr(0))), false) AS nul FROM (SELECT DISTINCT repo, path FROM commit_files WHERE path IS NOT NULL) c LEFT JOIN files f ON f.repo = c.repo AND f.path = c.path GROUP BY ALL), x AS (SELECT repo, path, bytes, nul, string_split(path, '/')[:-2] AS ps, "
     + _EXT
-    + " AS ext FROM p) SELECT path, CASE WHEN list_has_any(ps, ["
+    + " AS ext FROM p) SELECT repo, path, CASE WHEN list_has_any(ps, ["
     + ", ".join(f"'{x}'" for x in X.SKIPPED_DIRS)
     + "]) THEN 'vendored' WHEN ext IN ("
     + ", ".join(f"'{x}'" for x in X.BINARY_EXTENSIONS)
-    + ") THEN 'binary' END AS why, CASE WHEN ext IN ('md', 'markdown', 'mdx', 'rst', 'txt') THEN CASE lower(regexp_extract(path, '[^/]*$')) WHEN 'agents.md' THEN 3 WHEN 'claude.md' THEN 3 WHEN 'gemini.md' THEN 3 WHEN 'copilot-instructions.md' THEN 3 WHEN 'codex.md' THEN 3"
+    + ") THEN 'binary' WHEN bytes > 600000 THEN 'large' WHEN nul THEN 'binary' END AS why, CASE WHEN ext IN ('md', 'markdown', 'mdx', 'rst', 'txt') THEN CASE lower(regexp_extract(path, '[^/]*$')) WHEN 'agents.md' THEN 3 WHEN 'claude.md' THEN 3 WHEN 'gemini.md' THEN 3 WHEN 'copilot-instructions.md' THEN 3 WHEN 'codex.md' THEN 3"
     " WHEN 'readme.md' THEN CASE WHEN contains(path, '/') THEN 1 ELSE 2 END WHEN 'contributing.md' THEN 2 WHEN 'architecture.md' THEN 2 ELSE 1 END ELSE 0 END AS doc_weight FROM x"
 )
 def path_classes(s, d):
-    p = _t(s, d, "commit_files").select("path").filter(F.col("path").isNotNull()).distinct()
-    return p.select("path", X.skip_reason(F.col("path"), F.lit(0), F.lit(False)).alias("why"), F.when(X.is_doc(F.col("path")), X.agent_weight(F.col("path"))).otherwise(0).alias("doc_weight"))
+    f = _t(s, d, "files").groupBy("repo", "path").agg(F.max(F.octet_length("text")).alias("bytes"), F.bool_or(F.contains("text", F.lit("\0"))).alias("nul"))
+    p = _t(s, d, "commit_files").select("repo", "path").filter(F.col("path").isNotNull()).distinct().join(f, ["repo", "path"], "left")
+    return p.select("repo", "path", X.skip_reason(F.col("path"), F.coalesce("bytes", F.lit(0)), F.coalesce("nul", F.lit(False))).alias("why"), F.when(X.is_doc(F.col("path")), X.agent_weight(F.col("path"))).otherwise(0).alias("doc_weight"))
 
 
 @query("WITH s AS (SELECT DISTINCT subject FROM commits) SELECT subject, " + "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(subject, '')), '{p}') THEN '{n}'" for n, p in X.INTENTS) + " ELSE 'change' END AS intent, left(regexp_replace(regexp_replace(lower(subject), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM s")
@@ -285,12 +319,10 @@ def subject_intents(s, d):
     return _t(s, d, "commits").select("subject").distinct().select("subject", X.intent(F.col("subject")).alias("intent"), X.slug(F.col("subject")).alias("slug"))
 
 
-_STATUSES = ["done in May", "DO NOT RUN, superseded", "part two later", "open question", "", "half built", "merged", "dead end"]
-
-
-@query("WITH v(status) AS (VALUES " + ", ".join(f"('{x}')" for x in _STATUSES) + ") SELECT status, CASE " + " ".join(f"WHEN regexp_matches(lower(status), '{p}') THEN '{n}'" for n, p in X.STATUS) + " WHEN status <> '' THEN 'open' ELSE 'unknown' END AS class FROM v")
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{n}'" for n, p in X.STATUS) + " WHEN coalesce(text, '') <> '' THEN 'open' ELSE 'unknown' END AS class FROM documents")
 def doc_status_class(s, d):
-    return s.createDataFrame([(x,) for x in _STATUSES], "status string").select("status", X.status_class(F.col("status")).alias("class"))
+    """The status words of whole documents."""
+    return _t(s, d, "documents").select("doc_id", X.status_class(F.col("text")).alias("class"))
 
 
 _WORDS = (
@@ -394,42 +426,66 @@ def scattered_constants(s, d):
     return smells.scattered_constants(_strings(s, d))
 
 
-_HANDLERS = [("ui", "click", "handler", False), ("ui", "view", "handler", False), ("ui", "hover", "handler", False), ("ui", "purchase", "index", False), ("ui", "refund", "index", False)]
-_HV = "tk(table_id, key, access) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c, _ in _HANDLERS) + ")"
+_CALLED, _KEYED, _ASKED = r"\b[a-z_][a-z_0-9]*\.([a-z_][a-z_0-9]*)\(", r"\"([A-Za-z_][A-Za-z_0-9]*)\"\s*:", r"\(\"([A-Za-z_][A-Za-z_0-9]*)\""
+_CODE = r"l AS (SELECT repo, path, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT repo, path, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM files WHERE text IS NOT NULL))"
+_SENT = (
+    f"{_CODE}, sn AS (SELECT repo, path AS file, line, unnest(regexp_extract_all(x, '{_CALLED}', 1)) AS key FROM l), tk AS (SELECT DISTINCT f.repo, func_name AS key FROM funcs JOIN files f USING (file_id) WHERE func_name IS NOT NULL)"
+)
+
+
+def _grab(s, d, pattern, out):
+    l = X.lines_of(_t(s, d, "files").filter(F.col("text").isNotNull()), ["repo", "path"])  # noqa: E741
+    return l.select("repo", "path", "line", F.explode(F.regexp_extract_all("text_line", F.lit(pattern), F.lit(1))).alias(out))
+
+
+def _method_sends(s, d):
+    """Calls through a receiver, by name, against the functions that a repository declares: its table of methods."""
+    sends = _grab(s, d, _CALLED, "key").select("repo", F.lit("methods").alias("table_id"), "key", F.col("path").alias("file"), "line")
+    f = _t(s, d, "funcs").join(_t(s, d, "files").select("file_id", "repo"), "file_id").filter(F.col("func_name").isNotNull())
+    keys = f.select("repo", F.lit("methods").alias("table_id"), F.col("func_name").alias("key"), F.lit("index").alias("access"), F.lit(False).alias("open"), F.lit(True).alias("handled")).distinct()
+    return sends, keys
 
 
-def _sends(s, d):
-    e = _t(s, d, "events")
-    payload = F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>"))
-    return e.select(F.lit("ui").alias("table_id"), F.col("event_type").alias("key"), F.lit("events").alias("file"), F.col("event_id").alias("line"), payload.alias("payload"), F.lit("code").alias("role"))
+@query(f"WITH {_SENT} SELECT repo, key, file, line, 'high' AS severity, count(*) AS n FROM sn ANTI JOIN tk USING (repo, key) WHERE repo IN (SELECT repo FROM tk) GROUP BY ALL")
+def unknown_method_keys(s, d):
+    u = contracts.unknown_keys(*_method_sends(s, d))
+    return u.groupBy("repo", "key", "file", "line", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_HV} SELECT 'ui' AS table_id, event_type AS key, event_id AS line, 'high' AS severity FROM events WHERE coalesce(event_type, '') <> '' AND event_type NOT IN (SELECT key FROM tk)")
-def event_unknown_keys(s, d):
-    k = s.createDataFrame(_HANDLERS, "table_id string, key string, access string, open boolean")
-    return contracts.unknown_keys(_sends(s, d), k).select("table_id", "key", "line", "severity")
+@query(f"WITH {_SENT}, busy AS (SELECT repo FROM sn GROUP BY repo HAVING count(*) >= 3) SELECT repo, key FROM tk SEMI JOIN busy USING (repo) ANTI JOIN sn USING (repo, key)")
+def unsent_method_keys(s, d):
+    return contracts.unsent_keys(*_method_sends(s, d)).select("repo", "key")
 
 
-@query(f"WITH {_HV} SELECT table_id, key FROM tk WHERE key NOT IN (SELECT event_type FROM events WHERE event_type IS NOT NULL)")
-def event_unsent_keys(s, d):
-    k = s.createDataFrame(_HANDLERS, "table_id string, key string, access string, open boolean")
-    return contracts.unsent_keys(_sends(s, d), k)
+@query(
+    f"WITH {_CODE}, pr AS (SELECT DISTINCT repo, unnest(regexp_extract_all(x, '{_KEYED}', 1)) AS key FROM l), co AS (SELECT repo, unnest(regexp_extract_all(x, '{_ASKED}', 1)) AS key FROM l)"
+    " SELECT repo, key, count(*) AS reads, 'contract.key-never-written' AS id FROM co ANTI JOIN pr USING (repo, key) GROUP BY ALL"
+)
+def dangling_keys(s, d):
+    """Names handed to calls that no dictionary of the repository holds."""
+    return contracts.dangling(_grab(s, d, _ASKED, "key").withColumn("guarded", F.lit(False)), _grab(s, d, _KEYED, "key"))
 
 
 @query(
-    "SELECT event_type AS key, event_id AS line, array_to_string(list_filter(['k', 'user'], lambda x: NOT list_contains(coalesce(json_keys(props), []), x)), ',') AS missing, CASE WHEN event_type = 'click' THEN 'high' ELSE 'medium' END AS severity"
-    " FROM events WHERE event_type IN ('click', 'purchase')"
+    "WITH u AS (SELECT DISTINCT f.repo, f.path, line, func_name AS key, params FROM funcs JOIN files f USING (file_id) WHERE func_name IS NOT NULL AND params IS NOT NULL), k AS (SELECT DISTINCT repo, path, line, key, unnest(params) AS field FROM u), n AS (SELECT repo, key, count(*) AS n FROM u GROUP BY ALL),"
+    " need AS (SELECT repo, key, field FROM k JOIN n USING (repo, key) GROUP BY repo, key, field, n HAVING count(*) >= n / 2) SELECT u.repo, u.path, line, u.key, array_to_string(list_sort(list(field)), ',') AS missing, 'high' AS severity FROM u JOIN need ON need.repo = u.repo AND need.key = u.key WHERE NOT list_contains(params, field) GROUP BY ALL"
 )
 def payload_missing_keys(s, d):
-    need = s.createDataFrame([("ui", "click", "k", 3, False), ("ui", "click", "user", 4, False), ("ui", "purchase", "k", 9, True), ("ui", "purchase", "user", 9, True)], "table_id string, key string, field string, line int, early_return boolean")
-    return contracts.payload_missing(_sends(s, d), need).select("key", "line", F.array_join("missing", ",").alias("missing"), "severity")
+    """Functions that lack a parameter which half of the functions of their name in the repository take."""
+    e = _t(s, d, "funcs").select("file_id", "line", F.col("func_name").alias("key"), F.col("params").alias("payload")).filter("key is not null and payload is not null")
+    e = e.join(_t(s, d, "files").select("file_id", "repo", F.col("path").alias("file")), "file_id").select("repo", F.lit("functions").alias("table_id"), "key", "file", "line", "payload").distinct()
+    n = e.groupBy("repo", "key").agg(F.count(F.lit(1)).alias("n"))
+    need = e.select("repo", "key", "file", "line", F.explode(F.array_distinct("payload")).alias("field")).groupBy("repo", "key", "field").agg(F.count(F.lit(1)).alias("k")).join(n, ["repo", "key"]).filter(F.col("k") >= F.col("n") / 2)
+    need = need.select("repo", F.lit("functions").alias("table_id"), "key", "field", F.lit(1).alias("line"), F.array().cast("array<int>").alias("returns"))
+    return contracts.payload_missing(e, need).select("repo", F.col("file").alias("path"), "line", "key", F.array_join("missing", ",").alias("missing"), "severity")
 
 
 @query()
 def fuzzy_suggestion(s, d):
-    """The nearest handled key for each unhandled event type (matching-block ratio, so rows only)."""
-    k = s.createDataFrame(_HANDLERS, "table_id string, key string, access string, open boolean")
-    return documents.suggestion(contracts.unknown_keys(_sends(s, d), k), k, "table_id", 0.5)
+    """The nearest declared signal for each signal that is emitted or connected but not declared (matching blocks: rows only, tested in full)."""
+    dec, em, con = _signals(s, d)
+    used = em.union(con).distinct().join(dec.distinct(), ["repo", "name"], "left_anti")
+    return documents.suggestion(used.withColumnRenamed("name", "key").withColumn("t", F.lit("signals")), dec.withColumnRenamed("name", "key").withColumn("t", F.lit("signals")), "t", 0.5)
 
 
 _MENTION = r"[A-Za-z_0-9]+(?:/[A-Za-z_0-9.]+)+\.(?:gd|py|js|ts|go)\b"
@@ -444,18 +500,23 @@ def stale_references(s, d):
     return contracts.stale_references(m, _t(s, d, "files").select("path").distinct())
 
 
-@query(
-    r"WITH sg AS (SELECT f.repo, symbol AS name, count(*) AS declared FROM (SELECT DISTINCT * FROM symbols) y JOIN files f USING (file_id) WHERE kind = 'signal' GROUP BY ALL),"
-    r" l AS (SELECT repo, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line FROM files WHERE path LIKE '%.gd'), em AS (SELECT repo, name, count(*) AS emits FROM (SELECT repo, unnest(regexp_extract_all(line, '([A-Za-z_][A-Za-z_0-9]*)\.emit\(', 1)) AS name FROM l) GROUP BY ALL)"
-    " SELECT sg.repo, sg.name, declared, coalesce(emits, 0) AS emits, CASE WHEN coalesce(emits, 0) = 0 THEN 'low' END AS severity FROM sg LEFT JOIN em ON em.repo = sg.repo AND em.name = sg.name"
-)
-def signal_state(s, d):
+def _signals(s, d):
     files = _t(s, d, "files")
     dec = _t(s, d, "symbols").distinct().filter("kind = 'signal'").join(files.select("file_id", "repo"), "file_id").select("repo", F.col("symbol").alias("name"))
     gd = X.lines_of(files.filter(F.col("path").endswith(".gd")), ["repo"])
     grab = lambda p: gd.select("repo", F.explode(F.regexp_extract_all("text_line", F.lit(p), F.lit(1))).alias("name"))
-    st = contracts.signal_state(dec, grab(r"([A-Za-z_][A-Za-z_0-9]*)\.emit\("), grab(r"([A-Za-z_][A-Za-z_0-9]*)\.connect\(").limit(0))
-    return st.select("repo", "name", "declared", "emits", "severity")
+    return dec, grab(r"([A-Za-z_][A-Za-z_0-9]*)\.emit\("), grab(r"([A-Za-z_][A-Za-z_0-9]*)\.connect\(")
+
+
+@query(
+    r"WITH sg AS (SELECT f.repo, symbol AS name, count(*) AS declared FROM (SELECT DISTINCT * FROM symbols) y JOIN files f USING (file_id) WHERE kind = 'signal' GROUP BY ALL),"
+    r" l AS (SELECT repo, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line FROM files WHERE path LIKE '%.gd'), em AS (SELECT repo, name, count(*) AS emits FROM (SELECT repo, unnest(regexp_extract_all(line, '([A-Za-z_][A-Za-z_0-9]*)\.emit\(', 1)) AS name FROM l) GROUP BY ALL),"
+    r" cn AS (SELECT repo, name, count(*) AS connects FROM (SELECT repo, unnest(regexp_extract_all(line, '([A-Za-z_][A-Za-z_0-9]*)\.connect\(', 1)) AS name FROM l) GROUP BY ALL)"
+    " SELECT sg.repo, sg.name, declared, coalesce(emits, 0) AS emits, coalesce(connects, 0) AS connects, CASE WHEN coalesce(emits, 0) > 0 THEN NULL WHEN coalesce(connects, 0) > 0 THEN 'medium' ELSE 'low' END AS severity"
+    " FROM sg LEFT JOIN em ON em.repo = sg.repo AND em.name = sg.name LEFT JOIN cn ON cn.repo = sg.repo AND cn.name = sg.name"
+)
+def signal_state(s, d):
+    return contracts.signal_state(*_signals(s, d))
 
 
 @query("WITH y AS (SELECT DISTINCT file_id, line FROM symbols), f AS (SELECT DISTINCT file_id, func_name, line AS lo, end_line AS hi FROM funcs WHERE end_line >= line) SELECT y.file_id, y.line, func_name AS name FROM y JOIN f ON f.file_id = y.file_id AND y.line BETWEEN lo AND hi QUALIFY row_number() OVER (PARTITION BY y.file_id, y.line ORDER BY hi - lo, func_name) = 1")
@@ -463,9 +524,9 @@ def smallest_enclosing_function(s, d):
     return contracts.enclosing(_t(s, d, "symbols"), _t(s, d, "funcs").withColumnRenamed("func_name", "name"), "file_id")
 
 
-@query(r"WITH y AS (SELECT DISTINCT file_id, line FROM symbols WHERE kind = 'const'), l AS (SELECT file_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM files) SELECT file_id, line, left(rtrim(ls[line], ' '), 240) AS evidence FROM y JOIN l USING (file_id)")
+@query(r"WITH y AS (SELECT DISTINCT file_id, line FROM symbols), l AS (SELECT file_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM files) SELECT file_id, line, left(rtrim(ls[line], ' '), 240) AS evidence FROM y JOIN l USING (file_id)")
 def evidence_text(s, d):
-    y = _t(s, d, "symbols").filter("kind = 'const'").select("file_id", "line").distinct()
+    y = _t(s, d, "symbols").select("file_id", "line").distinct()
     return contracts.with_evidence(y, X.lines_of(_t(s, d, "files"), ["file_id"]))
 
 
@@ -488,15 +549,18 @@ def smell_counts(s, d):
 
 @query(
     f"WITH {_LINES}, c AS (SELECT file_id, line, trim(regexp_replace(trim(x, ' '), '^[#/*! \\t]+', ''), ' ') AS body, trim(x, ' ') AS raw FROM l WHERE {_COM}), k AS (SELECT file_id, line, line - row_number() OVER (PARTITION BY file_id ORDER BY line) AS i FROM c WHERE NOT regexp_matches(raw, '^(##|///|/\\*\\*)') AND regexp_matches(body, '{_sql_pattern(smells.CODEISH)}'))"
-    " SELECT file_id, min(line) AS first_line, count(*) AS n FROM k GROUP BY file_id, i HAVING count(*) >= 3"
+    " SELECT file_id, min(line) AS first_line, count(*) AS n FROM k GROUP BY file_id, i"
 )
 def comment_islands(s, d):
-    return smells.commented_code(X.lines_of(_t(s, d, "files"), ["file_id"]), "file_id")
+    """All runs of comment lines that look like code, of any length: three and more are leftovers."""
+    return smells.commented_code(X.lines_of(_t(s, d, "files"), ["file_id"]), "file_id", 1)
 
 
-@query(f"SELECT DISTINCT path FROM commit_files WHERE regexp_matches(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', ''), '{_sql_pattern(smells.VERSIONED)}')")
-def versioned_files(s, d):
-    return smells.versioned(_t(s, d, "commit_files").select("path").filter(F.col("path").isNotNull()).distinct())
+@query(f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM documents) SELECT word FROM w WHERE regexp_matches(word, '{_sql_pattern(smells.VERSIONED)}')")
+def versioned_names(s, d):
+    """The rule for version and copy marks in file names, over all words of the documents, where some do carry one."""
+    w = _t(s, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1)))).alias("path")).distinct()
+    return smells.versioned(w).select(F.col("path").alias("word"))
 
 
 @query(
@@ -525,10 +589,15 @@ def negation_conflicts(s, d):
     return retrieval.conflicts(t, _TERMS).select(F.col("doc").alias("doc_id")).distinct()
 
 
-@query("SELECT coalesce(lower(trim(source)), 'none') AS dir, doc_kind AS severity, count(*) AS n FROM documents GROUP BY ALL")
+@query(
+    f"WITH {_LINES}, m AS (SELECT file_id, CASE WHEN regexp_matches(x, '{_sql_pattern(smells.ELISION)}') THEN 'high' WHEN regexp_matches(x, '{_sql_pattern(smells.CHAT)}') THEN 'medium' WHEN regexp_matches(x, '{_sql_pattern(smells.STUB)}') THEN 'low' ELSE 'info' END AS severity FROM l WHERE {_COM})"
+    " SELECT repo, severity, count(*) AS n FROM m JOIN files USING (file_id) GROUP BY ALL"
+)
 def severity_rollup(s, d):
-    f = _t(s, d, "documents").select(F.coalesce(F.lower(F.trim("source")), F.lit("none")).alias("dir"), F.col("doc_kind").alias("severity"))
-    return contracts.by_severity(f, ["dir"])
+    """Comments by what they give away."""
+    c = smells.comment_lines(X.lines_of(_t(s, d, "files"), ["repo"]))
+    sev = F.when(F.col("text_line").rlike(smells.ELISION), "high").when(F.col("text_line").rlike(smells.CHAT), "medium").when(F.col("text_line").rlike(smells.STUB), "low").otherwise("info")
+    return contracts.by_severity(c.select("repo", sev.alias("severity")), ["repo"])
 
 
 # Clones -------------------------------------------------------------------------------------------------------------------------------
@@ -589,95 +658,89 @@ def duplicated_lines(s, d):
     return clones.duplicated_lines(_clone_runs(s, d))
 
 
-# Graphs -------------------------------------------------------------------------------------------------------------------------------
-_FLOW = (
-    "fl AS (SELECT cn.n_name AS src, sn.n_name AS dst, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN nation sn ON sn.n_nationkey = s_nationkey WHERE cn.n_name <> sn.n_name GROUP BY ALL),"
-    " e AS (SELECT src, dst, n / max(n) OVER (PARTITION BY src) AS w FROM (SELECT * FROM fl QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 3)), nd AS (SELECT n_name AS node FROM nation)"
-)
-
-
-def _flow(s, d):
-    """Reference graph of nations: from the customers' nation to the three suppliers' nations it orders most from."""
-    n = lambda p: _t(s, d, "nation").select(F.col("n_nationkey").alias(f"{p}_nationkey"), F.col("n_name").alias(f"{p}_name"))
-    o = _t(s, d, "lineitem").select("l_orderkey", "l_suppkey").join(_t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    o = o.groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    o = o.join(_t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(_t(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    g = o.groupBy("c_nationkey", "s_nationkey").agg(F.sum("n").alias("n")).join(n("c"), "c_nationkey").join(n("s"), "s_nationkey").filter("c_name <> s_name").select(F.col("c_name").alias("src"), F.col("s_name").alias("dst"), "n")
-    top = rank_over(g, ["src"], ["-n", "dst"], "place").filter("place <= 3")
-    best = top.groupBy("src").agg(F.max("n").alias("m"))
-    return top.join(best, "src").select("src", "dst", (F.col("n") / F.col("m")).alias("w"))
+# Graphs: the files of each repository, by what leans on what in the log ----------------------------------------------------------------------
+def _starts(s, d):
+    """One search per repository, from the first file that leans on another."""
+    return _lean(s, d).groupBy("repo").agg(F.min("src").alias("node")).select(F.col("repo").alias("q"), "repo", "node")
 
 
-def _nodes(s, d):
-    return _t(s, d, "nation").select(F.col("n_name").alias("node"))
+_START = "sd AS (SELECT repo, min(src) AS node FROM e GROUP BY repo)"
 
 
-@query(f"WITH {_FLOW} SELECT src, dst, round(w, 6) AS w FROM e")
-def reference_graph(s, d):
-    return _flow(s, d).withColumn("w", r6("w"))
+@query(f"WITH {_GRAPH} SELECT repo, src, dst, round(w, 6) AS w FROM e")
+def leaning_graph(s, d):
+    return _lean(s, d).withColumn("w", r6("w"))
 
 
 @query(
-    f"WITH RECURSIVE {_FLOW}, o AS (SELECT src, sum(w) AS t FROM e GROUP BY src), a AS (SELECT e.src, dst, w / t AS w FROM e JOIN o USING (src)), pr AS (SELECT 0 AS i, node, 1.0::DOUBLE / 25 AS r FROM nd UNION ALL"
-    " SELECT pr.i + 1, nd.node, 0.15 / 25 + 0.85 * sum(pr.r * CASE WHEN o.src IS NULL THEN 1.0 / 25 ELSE coalesce(a.w, 0) END) FROM pr CROSS JOIN nd LEFT JOIN a ON a.src = pr.node AND a.dst = nd.node LEFT JOIN o ON o.src = pr.node WHERE pr.i < 60 GROUP BY pr.i, nd.node) SELECT node, round(r, 6) AS rank FROM pr WHERE i = 60"
+    f"WITH RECURSIVE {_GRAPH}, nn AS (SELECT repo, count(*) AS n FROM nd GROUP BY repo), o AS (SELECT repo, src, sum(w) AS t FROM e GROUP BY ALL), a AS (SELECT e.repo, e.src, dst, w / t AS w FROM e JOIN o ON o.repo = e.repo AND o.src = e.src),"
+    " lk AS (SELECT x.repo, x.node AS src, y.node AS dst, n, o.src IS NULL AS loose, coalesce(a.w, 0) AS w FROM nd x JOIN nd y ON x.repo = y.repo JOIN nn ON nn.repo = x.repo LEFT JOIN o ON o.repo = x.repo AND o.src = x.node LEFT JOIN a ON a.repo = x.repo AND a.src = x.node AND a.dst = y.node),"
+    " pr AS (SELECT 0 AS i, repo, node, 1.0::DOUBLE / n AS r FROM nd JOIN nn USING (repo) UNION ALL SELECT i + 1, lk.repo, lk.dst, 0.15 / n + 0.85 * sum(r * CASE WHEN loose THEN 1.0 / n ELSE w END) FROM pr JOIN lk ON lk.repo = pr.repo AND lk.src = pr.node WHERE i < 60 GROUP BY i, lk.repo, lk.dst, n)"
+    " SELECT repo, node, round(r, 8) AS rank FROM pr WHERE i = 60"
 )
 def pagerank_60(s, d):
-    return graph.pagerank(_flow(s, d), _nodes(s, d)).select("node", r6("rank").alias("rank"))
+    return graph.pagerank(_lean(s, d), _nodes(s, d)).select("repo", "node", F.round("rank", 8).alias("rank"))
 
 
 @query(
-    f"WITH RECURSIVE {_FLOW}, o AS (SELECT src, sum(w) AS t FROM e GROUP BY src), a AS (SELECT e.src, dst, 0.55 * w / greatest(t, 1) AS w FROM e JOIN o USING (src)), pp AS (SELECT 0 AS i, node, CASE WHEN node IN ('NATION_3', 'NATION_8') THEN 0.5 ELSE 0.0 END::DOUBLE AS r FROM nd UNION ALL"
-    " SELECT pp.i + 1, nd.node, sum(pp.r * coalesce(a.w, 0)) + CASE WHEN nd.node IN ('NATION_3', 'NATION_8') THEN 0.225 ELSE 0 END FROM pp CROSS JOIN nd LEFT JOIN a ON a.src = pp.node AND a.dst = nd.node WHERE pp.i < 40 GROUP BY pp.i, nd.node) SELECT node, round(r, 6) AS mass FROM pp WHERE i = 40 AND r > 0"
+    f"WITH RECURSIVE {_GRAPH}, {_START}, o AS (SELECT repo, src, sum(w) AS t FROM e GROUP BY ALL), a AS (SELECT e.repo, e.src, dst, 0.55 * w / greatest(t, 1) AS w FROM e JOIN o ON o.repo = e.repo AND o.src = e.src),"
+    " lk AS (SELECT x.repo, x.node AS src, y.node AS dst, coalesce(a.w, 0) AS w FROM nd x JOIN nd y ON x.repo = y.repo LEFT JOIN a ON a.repo = x.repo AND a.src = x.node AND a.dst = y.node),"
+    " pp AS (SELECT 0 AS i, nd.repo, nd.node, CASE WHEN sd.node IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS r FROM nd LEFT JOIN sd ON sd.repo = nd.repo AND sd.node = nd.node"
+    " UNION ALL SELECT i + 1, lk.repo, lk.dst, sum(r * w) + CASE WHEN (lk.repo, lk.dst) IN (SELECT repo, node FROM sd) THEN 0.45 ELSE 0 END FROM pp JOIN lk ON lk.repo = pp.repo AND lk.src = pp.node WHERE i < 40 GROUP BY i, lk.repo, lk.dst) SELECT repo, node, round(r, 8) AS mass FROM pp WHERE i = 40 AND r >= 0.000001"
 )
 def personalized_pagerank_40(s, d):
-    return graph.personalized(_flow(s, d), ["NATION_3", "NATION_8"]).filter("mass > 0").select("node", r6("mass").alias("mass"))
+    return graph.personalized(_lean(s, d), _starts(s, d)).filter("mass >= 0.000001").select("repo", "node", F.round("mass", 8).alias("mass"))
 
 
-_REACH = "rc AS (SELECT DISTINCT src, dst FROM e UNION SELECT rc.src, e.dst FROM rc JOIN e ON e.src = rc.dst)"
-
-
-@query(f"WITH RECURSIVE {_FLOW}, {_REACH} SELECT node, count(rc.src) AS reach FROM nd LEFT JOIN rc ON rc.dst = node AND rc.src <> node GROUP BY node")
+@query(f"WITH RECURSIVE {_GRAPH}, {_REACH} SELECT nd.repo, node, count(rc.src) AS reach FROM nd LEFT JOIN rc ON rc.repo = nd.repo AND rc.dst = node AND rc.src <> node GROUP BY ALL")
 def reach_closure(s, d):
-    return graph.reach_counts(_flow(s, d), _nodes(s, d))
+    return graph.reach_counts(_lean(s, d), _nodes(s, d))
 
 
-@query(f"WITH RECURSIVE {_FLOW}, {_REACH}, mu AS (SELECT x.src AS node, min(x.dst) AS m FROM rc x JOIN rc y ON x.src = y.dst AND x.dst = y.src GROUP BY ALL), c AS (SELECT nd.node, least(nd.node, coalesce(m, nd.node)) AS component FROM nd LEFT JOIN mu USING (node)) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c")
+@query(
+    f"WITH RECURSIVE {_GRAPH}, {_REACH}, mu AS (SELECT x.repo, x.src AS node, min(x.dst) AS m FROM rc x JOIN rc y ON x.repo = y.repo AND x.src = y.dst AND x.dst = y.src GROUP BY ALL),"
+    " c AS (SELECT nd.repo, nd.node, least(nd.node, coalesce(m, nd.node)) AS component FROM nd LEFT JOIN mu ON mu.repo = nd.repo AND mu.node = nd.node) SELECT repo, node, component, count(*) OVER (PARTITION BY repo, component) AS size FROM c"
+)
 def cycle_components(s, d):
-    return graph.components(_flow(s, d), _nodes(s, d))
+    return graph.components(_lean(s, d), _nodes(s, d))
 
 
-@query(f"WITH RECURSIVE {_FLOW}, b AS (SELECT 'NATION_3' AS node, 0 AS hops UNION SELECT e.dst, hops + 1 FROM b JOIN e ON e.src = b.node WHERE hops < 24) SELECT node, min(hops) AS hops FROM b GROUP BY node")
+@query(f"WITH RECURSIVE {_GRAPH}, {_START}, b AS (SELECT repo, node, 0 AS hops FROM sd UNION SELECT e.repo, e.dst, hops + 1 FROM b JOIN e ON e.repo = b.repo AND e.src = b.node WHERE hops < 60) SELECT repo, node, min(hops) AS hops FROM b GROUP BY ALL")
 def bfs_hops(s, d):
-    return graph.shortest_chains(_flow(s, d), ["NATION_3"]).select("node", "hops")
+    return graph.shortest_chains(_lean(s, d), _starts(s, d)).select("repo", "node", "hops")
 
 
-@query(f"WITH RECURSIVE {_FLOW}, b AS (SELECT 'NATION_3' AS node, 0.0::DOUBLE AS dist, 0 AS h UNION ALL SELECT e.dst, dist + 0.35 - ln(least(1.0, greatest(w, 0.001))), h + 1 FROM b JOIN e ON e.src = b.node WHERE h < 9) SELECT node, round(min(dist), 6) AS dist FROM b GROUP BY node")
+@query(
+    f"WITH RECURSIVE {_GRAPH}, {_START}, c AS (SELECT repo, src, dst, 0.35 - ln(least(1.0, greatest(w, 0.001))) AS c FROM e UNION ALL SELECT repo, node, node, 0.0 FROM nd), b AS (SELECT 0 AS i, repo, node, 0.0::DOUBLE AS dist FROM sd"
+    " UNION ALL SELECT i + 1, c.repo, c.dst, min(dist + c) FROM b JOIN c ON c.repo = b.repo AND c.src = b.node WHERE i < 60 GROUP BY i, c.repo, c.dst) SELECT repo, node, round(dist, 6) AS dist FROM b WHERE i = 60"
+)
 def cheapest_evidence_path(s, d):
-    return graph.cheapest_paths(_flow(s, d), ["NATION_3"]).select("node", r6("dist").alias("dist"))
+    return graph.cheapest_paths(_lean(s, d), _starts(s, d)).select("repo", "node", r6("dist").alias("dist"))
 
 
 @query(
     f"WITH {_C}, {_T}, {_PAIRS}, {_STR}, n AS (SELECT repo, count(DISTINCT path) AS n FROM files GROUP BY repo), df AS (SELECT repo, value, count(*) AS df FROM st GROUP BY ALL), r AS (SELECT repo FROM c GROUP BY repo HAVING count(*) >= 5),"
     " k2 AS (SELECT repo, value, ln(n / df) / ln(n) / (df - 1) AS w FROM df JOIN n USING (repo) WHERE df >= 2 AND df <= greatest(4, floor(0.2 * n)) AND df <= n AND n > 1),"
     " ss AS (SELECT x.repo, x.path AS a, y.path AS b, sum(w) AS weight FROM st x JOIN st y ON x.repo = y.repo AND x.value = y.value AND x.path < y.path JOIN k2 ON k2.repo = x.repo AND k2.value = x.value GROUP BY ALL),"
-    " u AS (SELECT repo || ':' || a AS a, repo || ':' || b AS b, 'strings' AS kind, 0.35 * least(1, weight / 3) AS w FROM ss WHERE weight >= 0.6 UNION ALL SELECT repo || ':' || a, repo || ':' || b, 'cochange', 0.8 * greatest(conf_ab, conf_ba) * least(1, weight / 1.5) FROM q SEMI JOIN r USING (repo) WHERE n >= 2 AND 0.8 * greatest(conf_ab, conf_ba) * least(1, weight / 1.5) >= 0.08),"
-    " v AS (SELECT a AS src, b AS dst, kind, w FROM u UNION ALL SELECT b, a, kind, w FROM u) SELECT src, dst, round(least(1.5, sum(w)), 6) AS w, count(*) AS kinds FROM (SELECT src, dst, kind, max(w) AS w FROM v GROUP BY ALL) GROUP BY src, dst"
+    " u AS (SELECT repo, a, b, 'strings' AS kind, 0.35 * least(1, weight / 3) AS w FROM ss WHERE weight >= 0.6 UNION ALL SELECT repo, a, b, 'cochange', 0.8 * greatest(conf_ab, conf_ba) * least(1, weight / 1.5) FROM q SEMI JOIN r USING (repo) WHERE n >= 2 AND 0.8 * greatest(conf_ab, conf_ba) * least(1, weight / 1.5) >= 0.08),"
+    " v AS (SELECT repo, a AS src, b AS dst, kind, w FROM u UNION ALL SELECT repo, b, a, kind, w FROM u) SELECT repo, src, dst, round(least(1.5, sum(w)), 6) AS w, count(*) AS kinds FROM (SELECT repo, src, dst, kind, max(w) AS w FROM v GROUP BY ALL) GROUP BY ALL"
 )
 def graph_merge_weights(s, d):
-    key = lambda c: F.concat("repo", F.lit(":"), c)
     n = _t(s, d, "files").groupBy("repo").agg(F.count_distinct("path").alias("files"))
     ss = contracts.shared_strings(_strings(s, d), n)
-    e1 = graph.string_weights(ss.select(key("a").alias("a"), key("b").alias("b"), "weight")).withColumn("kind", F.lit("strings"))
+    e1 = graph.string_weights(ss).withColumn("kind", F.lit("strings"))
     cm = _commits(s, d).groupBy("repo").agg(F.count(F.lit(1)).alias("commits"))
-    co = history.cochange_edges(_pairs(s, d), cm)
-    e2 = co.select(key("src").alias("src"), key("dst").alias("dst"), "w", F.lit("cochange").alias("kind"))
+    e2 = history.cochange_edges(_pairs(s, d), cm).withColumn("kind", F.lit("cochange"))
     m = graph.merge_kinds(e1.unionByName(e2))
-    return m.select("src", "dst", r6("w").alias("w"), F.size("kinds").cast("long").alias("kinds"))
+    return m.select("repo", "src", "dst", r6("w").alias("w"), F.size("kinds").cast("long").alias("kinds"))
 
 
-@query(f"WITH {_FLOW}, x AS (SELECT DISTINCT src, dst FROM e), i AS (SELECT dst, count(*) AS n FROM x GROUP BY dst) SELECT round((SELECT sum(n) FROM (SELECT n FROM i ORDER BY n DESC, dst LIMIT 3)) / (SELECT count(*) FROM x), 6) AS top_share, round((SELECT count(*) FROM x) / 25, 6) AS avg_fan_out")
+@query(
+    f"WITH {_GRAPH}, i AS (SELECT repo, dst, count(*) AS n FROM (SELECT DISTINCT repo, src, dst FROM e) GROUP BY ALL), tp AS (SELECT repo, n, row_number() OVER (PARTITION BY repo ORDER BY n DESC, dst) AS k FROM i), g AS (SELECT repo, sum(n) AS edges, sum(n) FILTER (k <= 3) AS best FROM tp GROUP BY repo), f AS (SELECT repo, count(*) AS files FROM nd GROUP BY repo)"
+    " SELECT f.repo, round(coalesce(best, 0) / greatest(1, coalesce(edges, 0)), 6) AS top_share, round(coalesce(edges, 0) / files, 6) AS avg_fan_out FROM f LEFT JOIN g USING (repo)"
+)
 def hub_concentration(s, d):
-    return graph.concentration(_flow(s, d), _nodes(s, d)).select(r6("top_share").alias("top_share"), r6("avg_fan_out").alias("avg_fan_out"))
+    return graph.concentration(_lean(s, d), _nodes(s, d)).select("repo", r6("top_share").alias("top_share"), r6("avg_fan_out").alias("avg_fan_out"))
 
 
 # Roll-ups and scores ------------------------------------------------------------------------------------------------------------------
@@ -692,19 +755,35 @@ def architecture_rollup(s, d):
     return scoring.directories(f.select("repo", "path", "loc", X.role(F.col("path"), F.col("generated_by")).alias("role")))
 
 
+_MARKS = f"mk AS (SELECT file_id, 5 * count(*) FILTER (regexp_matches(x, '{_sql_pattern(smells.ELISION)}')) + 3 * count(*) FILTER (regexp_matches(x, '{_sql_pattern(smells.CHAT)}')) + count(*) FILTER (regexp_matches(x, '{_sql_pattern(smells.STUB)}')) + 0.2 * count(*) FILTER (regexp_matches(x, '{smells.TODO}')) AS lo FROM l WHERE {_COM} GROUP BY file_id)"
+_RAMP = "round(least(1, greatest(0, ({0} - {1}) / ({2} - {1}))) * 100, 1)"
 _COMPONENTS = (
-    "g AS (SELECT repo, sum(loc) AS l, sum(CASE WHEN loc >= 600 THEN loc ELSE 0 END) AS big, max(loc) AS biggest, count(*) AS files, sum(CASE WHEN coalesce(doc, '') = '' THEN 1 ELSE 0 END) AS undoc FROM file_facts GROUP BY repo),"
-    " cp AS (SELECT repo, 'size' AS category, round(least(1, greatest(0, (big / l - 0.1) / 0.5)) * 100, 1) AS score FROM g UNION ALL SELECT repo, 'size', round(least(1, greatest(0, (biggest - 600) / 1900)) * 100, 1) FROM g UNION ALL SELECT repo, 'agent_risk', round(least(1, greatest(0, (undoc / files - 0.3) / 0.6)) * 100, 1) FROM g UNION ALL SELECT repo, 'coupling', NULL FROM g),"
-    " ct AS (SELECT repo, category, greatest(0, coalesce(m, 0) - CASE WHEN category = 'agent_risk' THEN 10 ELSE 0 END) AS score FROM (SELECT repo, category, avg(score) AS m FROM cp GROUP BY repo, category))"
+    f"{_LINES}, {_MARKS}, {_GRAPH}, "
+    "lf AS (SELECT f.repo, count(*) AS long FROM (SELECT DISTINCT file_id, line, end_line FROM funcs) u JOIN files f USING (file_id) WHERE end_line - line + 1 >= 80 GROUP BY ALL), lm AS (SELECT repo, sum(lo) AS lo FROM mk JOIN files USING (file_id) GROUP BY repo),"
+    " fi AS (SELECT repo, dst, count(*) AS n FROM (SELECT DISTINCT repo, src, dst FROM e) GROUP BY ALL), ft AS (SELECT repo, n, row_number() OVER (PARTITION BY repo ORDER BY n DESC, dst) AS k FROM fi), hb AS (SELECT repo, sum(n) FILTER (k <= 3) / sum(n) AS top FROM ft GROUP BY repo),"
+    " g AS (SELECT repo, greatest(1, sum(loc)) AS l, sum(CASE WHEN loc >= 600 THEN loc ELSE 0 END) AS big, max(loc) AS biggest FROM file_facts GROUP BY repo),"
+    " x AS (SELECT g.repo, l / 1000 AS k, big / l AS bs, biggest, coalesce(long, 0) AS long, coalesce(lo, 0) AS lo, coalesce(top, 0) AS top FROM g LEFT JOIN lf ON lf.repo = g.repo LEFT JOIN lm ON lm.repo = g.repo LEFT JOIN hb ON hb.repo = g.repo),"
+    f" cp AS (SELECT repo, 'size' AS category, {_RAMP.format('bs', 0.1, 0.6)} AS score FROM x UNION ALL SELECT repo, 'size', {_RAMP.format('long / k', 0.2, 2)} FROM x UNION ALL SELECT repo, 'size', {_RAMP.format('biggest', 600, 2500)} FROM x"
+    f" UNION ALL SELECT repo, 'prompt_archaeology', {_RAMP.format('lo / k', 0, 5)} FROM x UNION ALL SELECT repo, 'coupling', {_RAMP.format('top', 0.15, 0.5)} FROM x UNION ALL SELECT repo, 'coupling', NULL FROM x),"
+    " ct AS (SELECT repo, category, greatest(0, coalesce(avg(score), 0)) AS score FROM cp GROUP BY repo, category)"
 )
 
 
 def _components(s, d):
-    g = _t(s, d, "file_facts").groupBy("repo").agg(F.sum("loc").alias("l"), F.sum(F.when(F.col("loc") >= 600, F.col("loc")).otherwise(0)).alias("big"), F.max("loc").alias("biggest"), F.count(F.lit(1)).alias("files"), F.count_if(F.coalesce("doc", F.lit("")) == "").alias("undoc"))
-    part = lambda cat, x: F.struct(F.lit(cat).alias("category"), x.alias("score"))
-    parts = [part("size", X.ramp(F.col("big") / F.col("l"), 0.1, 0.6)), part("size", X.ramp(F.col("biggest"), 600, 2500)), part("agent_risk", X.ramp(F.col("undoc") / F.col("files"), 0.3, 0.9)), part("coupling", F.lit(None).cast("double"))]
-    c = g.select("repo", F.explode(F.array(*parts)).alias("p")).select("repo", "p.category", "p.score")
-    return c.withColumn("credit", F.when(F.col("category") == "agent_risk", 10.0).otherwise(0.0))
+    """Measured components of three categories: sizes, leftovers in comments, and how much leans on few files (one not measured: null)."""
+    num = lambda c: F.coalesce(c, F.lit(0))
+    repo_of = _t(s, d, "files").select("file_id", "repo").distinct()
+    g = _t(s, d, "file_facts").groupBy("repo").agg(F.greatest(F.lit(1), F.sum("loc")).alias("l"), F.sum(F.when(F.col("loc") >= 600, F.col("loc")).otherwise(0)).alias("big"), F.max("loc").alias("biggest"))
+    long = _t(s, d, "funcs").select("file_id", "line", "end_line").distinct().filter(F.col("end_line") - F.col("line") + 1 >= 80).join(repo_of, "file_id").groupBy("repo").agg(F.count(F.lit(1)).alias("long"))
+    m = smells.marker_counts(X.lines_of(_t(s, d, "files"), ["repo"]), ["repo"]).select("repo", (5 * F.col("elision") + 3 * F.col("chat") + F.col("stub") + 0.2 * F.col("todo")).alias("lo"))
+    hubs = graph.concentration(_lean(s, d), _nodes(s, d)).select("repo", "top_share")
+    x = g.join(long, "repo", "left").join(m, "repo", "left").join(hubs, "repo", "left").withColumn("k", F.col("l") / 1000)
+    part = lambda cat, v: F.struct(F.lit(cat).alias("category"), v.alias("score"))
+    parts = [
+        part("size", X.ramp(F.col("big") / F.col("l"), 0.1, 0.6)), part("size", X.ramp(num(F.col("long")) / F.col("k"), 0.2, 2)), part("size", X.ramp(F.col("biggest"), 600, 2500)),
+        part("prompt_archaeology", X.ramp(num(F.col("lo")) / F.col("k"), 0, 5)), part("coupling", X.ramp(num(F.col("top_share")), 0.15, 0.5)), part("coupling", F.lit(None).cast("double")),
+    ]
+    return x.select("repo", F.explode(F.array(*parts)).alias("p")).select("repo", "p.category", "p.score", F.lit(0.0).alias("credit"))
 
 
 @query(f"WITH {_COMPONENTS} SELECT repo, category, round(score, 4) AS score FROM ct")
@@ -712,20 +791,18 @@ def ramp_score_components(s, d):
     return scoring.category_scores(_components(s, d), ["repo"]).withColumn("score", F.round("score", 4))
 
 
-@query(f"WITH {_COMPONENTS}, tt AS (SELECT repo, sum(score * CASE category WHEN 'size' THEN 0.15 WHEN 'agent_risk' THEN 0.25 ELSE 0.2 END) AS total FROM ct GROUP BY repo) SELECT repo, round(total, 4) AS total, CASE WHEN total < 25 THEN 'handover' WHEN total < 45 THEN 'pack' WHEN total < 65 THEN 'supervised' ELSE 'stabilize' END AS tier FROM tt")
+@query(f"WITH {_COMPONENTS}, tt AS (SELECT repo, sum(score * CASE category WHEN 'size' THEN 0.15 WHEN 'prompt_archaeology' THEN 0.15 ELSE 0.2 END) AS total FROM ct GROUP BY repo) SELECT repo, round(total, 4) AS total, CASE WHEN total < 25 THEN 'handover' WHEN total < 45 THEN 'pack' WHEN total < 65 THEN 'supervised' ELSE 'stabilize' END AS tier FROM tt")
 def weighted_total_tier(s, d):
     return scoring.total_score(scoring.category_scores(_components(s, d), ["repo"]), ["repo"]).select("repo", F.round("total", 4).alias("total"), "tier")
 
 
-# Whole scans (rows only: parsing and iteration are not SQL) -----------------------------------------------------------------------------
+# Whole scans (rows only: parsing and iteration are not SQL; tested on constructed snapshots) --------------------------------------------------
 def _scan(s, d):
-    """All repositories as one snapshot, paths under their repository's name."""
+    """All repositories at once, each on its own. The table holds source files only, so the engine's checks run without a project file."""
     from codestrata.plans.scan import Scan
 
-    f = _t(s, d, "files").select(F.concat_ws("/", "repo", "path").alias("path"), "text")
-    c = _commits(s, d).select(F.lit("all").alias("repo"), "sha", "ord", "ts", "author", "subject", "body")
-    cf = _t(s, d, "commit_files").filter(F.col("path").isNotNull()).select(F.lit("all").alias("repo"), "sha", F.concat_ws("/", "repo", "path").alias("path"), "added", "deleted")
-    return Scan(s, f, c, cf)
+    c = _commits(s, d).select("repo", "sha", "ord", "ts", "author", "subject", "body")
+    return Scan(s, _t(s, d, "files").select("repo", "path", "text").distinct(), c, _t(s, d, "commit_files").filter(F.col("path").isNotNull()), engine=True)
 
 
 @query()
@@ -733,7 +810,7 @@ def parsed_facts(s, d):
     """Counts of what the parsers find per file."""
     f = _scan(s, d).facts
     n = lambda c: F.size(c).alias(f"n_{c}")
-    return f.select("path", "lang", "lines", "loc", "class_name", "generated_by", F.col("parse_error").isNotNull().alias("broken"), *[n(c) for c in ("funcs", "symbols", "refs", "imports", "calls", "dict_keys", "subs", "strings", "comments", "norm")])
+    return f.select("repo", "path", "lang", "lines", "loc", "class_name", "generated_by", F.col("parse_error").isNotNull().alias("broken"), *[n(c) for c in ("funcs", "symbols", "refs", "imports", "calls", "dicts", "subs", "strings", "comments", "norm", "tables", "routes")])
 
 
 @query()
@@ -743,7 +820,7 @@ def scan_findings(s, d):
 
 @query()
 def scan_risk(s, d):
-    return _scan(s, d).ranking.select("path", "role", "loc", "fan_in", "fan_out", "pagerank", "reach", "churn_commits", "score", "tier", "reasons")
+    return _scan(s, d).ranking.select("repo", "path", "role", "loc", "fan_in", "fan_out", "pagerank", "reach", "churn_commits", "score", "tier", "reasons")
 
 
 @query()
@@ -751,6 +828,18 @@ def scan_score(s, d):
     return _scan(s, d).score()
 
 
+@query()
+def scan_invariants(s, d):
+    return _scan(s, d).invariants
+
+
+@query()
+def impact_backtest(s, d):
+    from codestrata.plans import impact
+
+    return impact.backtest(_scan(s, d))
+
+
 @query()
 def blast_impacted(s, d):
     r = _scan(s, d).blast("replace the save format of the market inventory")

@@ -98,8 +98,8 @@ def test_upper_median(spark):
 
 
 def test_rename_chain_last_wins(spark):
-    r = spark.createDataFrame([(1, "a => b"), (2, "b => c"), (3, "x/{q => w}/y"), (4, "a => d")], "ord int, spec string")
-    assert rows(history.current_names(history.rename_expansion(r))) == [("a", "d"), ("b", "c"), ("x/q/y", "x/w/y")]
+    r = spark.createDataFrame([(1, "a => b"), (2, "b => c"), (3, "x/{q => w}/y"), (4, "a => d")], "ord int, spec string").withColumn("repo", F.lit("r"))
+    assert [x[1:] for x in rows(history.current_names(history.rename_expansion(r)))] == [("a", "d"), ("b", "c"), ("x/q/y", "x/w/y")]
 
 
 def test_agents_and_fixes(spark):
@@ -130,47 +130,96 @@ EDGES = [("a", "b", 1.0), ("b", "c", 0.5), ("c", "a", 0.2), ("b", "d", 0.4), ("e
 
 @pytest.fixture
 def edges(spark):
-    return spark.createDataFrame(EDGES, "src string, dst string, w double")
+    """Two repositories, the second one with an edge of its own under the same names."""
+    return spark.createDataFrame([("r", *x) for x in EDGES] + [("o", "a", "b", 1.0)], "repo string, src string, dst string, w double")
 
 
-def close(a, b):
-    a, b = dict(rows(a)), dict(rows(b))
-    return a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
-
-
-def test_pagerank_both_ways(spark, edges):
-    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "node string")
-    one, loop = graph.pagerank(edges, nodes, rounds=4), graph.pagerank(edges, nodes, rounds=4, small=0)
-    assert close(one, loop) and abs(sum(r.rank for r in one.collect()) - 1) < 1e-9
-
-
-def test_personalized_leaks_and_agrees(spark, edges):
-    one, loop = graph.personalized(edges, ["a"], rounds=4), graph.personalized(edges, ["a"], rounds=4, small=0)
-    assert close(one.filter("mass > 0"), loop.filter("mass > 0")) and sum(r.mass for r in one.collect()) < 1
-
-
-def test_reach_and_cycles(spark, edges):
-    assert rows(graph.reachable(edges)) == rows(graph.reachable(edges, small=0))
-    nodes = spark.createDataFrame([(x,) for x in "abcde"], "node string")
-    assert {r.node: (r.component, r.size) for r in graph.components(edges, nodes).collect()} == {"a": ("a", 3), "b": ("a", 3), "c": ("a", 3), "d": ("d", 1), "e": ("e", 1)}
-    assert dict(rows(graph.reach_counts(edges, nodes))) == {"a": 2, "b": 2, "c": 2, "d": 4, "e": 0}
-
-
-def test_cheapest_paths_both_ways(edges):
-    one, loop = graph.cheapest_paths(edges, ["a"]).collect(), graph.cheapest_paths(edges, ["a"], small=0).collect()
-    assert {r.node: (round(r.dist, 9), tuple(r.chain)) for r in one} == {r.node: (round(r.dist, 9), tuple(r.chain)) for r in loop}
+@pytest.fixture
+def nodes(spark):
+    return spark.createDataFrame([("r", x) for x in "abcdef"] + [("o", "a"), ("o", "b")], "repo string, node string")
+
+
+def one(df, *cols):
+    return {r.node: tuple(r[c] for c in cols) if len(cols) > 1 else r[cols[0]] for r in df.filter("repo = 'r'").collect()}
+
+
+def test_pagerank_equals_brute_force(edges, nodes):
+    got = graph.pagerank(edges, nodes, rounds=6)
+    out = {x: sum(w for s, _, w in EDGES if s == x) for x in "abcdef"}
+    rank = dict.fromkeys("abcdef", 1 / 6)
+    for _ in range(6):
+        loose = sum(rank[x] for x in rank if not out[x])
+        rank = {x: 0.15 / 6 + 0.85 * (loose / 6 + sum(rank[s] * w / out[s] for s, d, w in EDGES if d == x)) for x in rank}
+    assert all(abs(one(got, "rank")[x] - rank[x]) < 1e-9 for x in rank) and abs(sum(r.rank for r in got.collect()) - 2) < 1e-9
+
+
+def test_personalized_equals_brute_force(spark, edges):
+    seeds = spark.createDataFrame([(1, "r", "a"), (2, "r", "e"), (2, "r", "b")], "q int, repo string, node string")
+    rows_ = {(r.q, r.node): r.mass for r in graph.personalized(edges, seeds, rounds=5).collect()}
+    for q, start in ((1, ["a"]), (2, ["e", "b"])):
+        mass = dict.fromkeys(start, 1 / len(start))
+        for _ in range(5):
+            nxt = {x: 0.45 / len(start) for x in start}
+            for s, d, w in EDGES:
+                nxt[d] = nxt.get(d, 0) + 0.55 * mass.get(s, 0) * w / max(1.0, sum(v for x, _, v in EDGES if x == s))
+            mass = nxt
+        assert all(abs(rows_.get((q, x), 0) - v) < 1e-9 for x, v in mass.items())
+
+
+def test_reach_and_cycles(edges, nodes):
+    assert one(graph.components(edges, nodes), "component", "size") == {"a": ("a", 3), "b": ("a", 3), "c": ("a", 3), "d": ("d", 1), "e": ("e", 1), "f": ("f", 1)}
+    assert one(graph.reach_counts(edges, nodes), "reach") == {"a": 2, "b": 2, "c": 2, "d": 4, "e": 0, "f": 0}
+
+
+def test_reach_and_components_of_long_chains_with_many_nodes(spark):
+    """More nodes than one bit set holds, two cycles of different colour in one chain."""
+    n = 1_300
+    e = [("r", f"n{i:05}", f"n{i // 2:05}", 1.0) for i in range(1, n)] + [("r", "n00001", "n00007", 1.0), ("r", "n00002", "n00009", 1.0)]
+    edges = spark.createDataFrame(e, "repo string, src string, dst string, w double")
+    nodes = edges.select("repo", F.col("src").alias("node")).union(edges.select("repo", "dst"))
+    back: dict[str, set] = {}
+    for _, s, d, _ in e:
+        back.setdefault(d, set()).add(s)
+    def above(x):
+        seen, todo = {x}, [x]
+        while todo:
+            for y in back.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return len(seen) - 1
+    got = one(graph.reach_counts(edges, nodes), "reach")
+    assert all(got[x] == above(x) for x in ("n00000", "n00001", "n00002", "n00009", "n00100", "n01299"))
+    c = one(graph.components(edges, nodes), "component", "size")
+    assert c["n00007"] == c["n00001"] == ("n00001", 3) and c["n00009"] == ("n00002", 3) and c["n00100"][1] == 1
+
+
+def test_paths_without_a_limit(spark, edges):
+    far = spark.createDataFrame([("r", f"n{i:03}", f"n{i + 1:03}", 1.0) for i in range(70)], "repo string, src string, dst string, w double")
+    start = spark.createDataFrame([(0, "r", "n000")], "q int, repo string, node string")
+    w = graph.shortest_chains(far, start)
+    assert w.agg(F.max("hops")).first()[0] == 70
+    end = spark.createDataFrame([(0, "r", "n070")], "q int, repo string, node string")
+    assert len(graph.chains(w, end).first().chain) == 71 and graph.chains(w, end, 2).first().chain == ["n068", "n069", "n070"]
+    p = graph.cheapest_paths(edges, spark.createDataFrame([(0, "r", "a")], "q int, repo string, node string"))
+    import math
+
+    assert {k: round(v, 9) for k, v in one(p, "dist").items()} == {"a": 0.0, "b": 0.35, "c": round(0.7 - math.log(0.5), 9), "d": round(0.7 - math.log(0.4), 9)}
+
+
+def test_merging(spark):
+    m = graph.merge_kinds(spark.createDataFrame([("r", "a", "b", "x", 1.0), ("r", "a", "b", "x", 0.4), ("r", "a", "b", "y", 0.9)], "repo string, src string, dst string, kind string, w double")).first()
+    assert m.w == 1.5 and m.kinds == {"x": 1.0, "y": 0.9}
 
 
-def test_chains_and_merging(spark, edges):
-    assert {r.node: r.chain for r in graph.shortest_chains(edges, ["a"]).collect()}["d"] == ["a", "b", "d"]
-    m = graph.merge_kinds(spark.createDataFrame([("a", "b", "x", 1.0), ("a", "b", "x", 0.4), ("a", "b", "y", 0.9)], "src string, dst string, kind string, w double")).first()
-    assert m.w == 1.5 and m.kinds == {"x": 1.0, "y": 0.9}
+def test_concentration(edges, nodes):
+    assert {r.repo: (round(r.top_share, 3), round(r.avg_fan_out, 3)) for r in graph.concentration(edges, nodes).collect()} == {"r": (0.8, 0.833), "o": (1.0, 0.5)}
 
 
 def test_graph_without_edges(spark):
-    e = spark.createDataFrame([], "src string, dst string, w double")
-    n = spark.createDataFrame([("a",), ("b",)], "node string")
-    assert rows(graph.pagerank(e, n)) == [("a", 0.5), ("b", 0.5)] and graph.reachable(e).count() == 0
+    e = spark.createDataFrame([], "repo string, src string, dst string, w double")
+    n = spark.createDataFrame([("r", "a"), ("r", "b")], "repo string, node string")
+    assert {tuple(r) for r in graph.pagerank(e, n).collect()} == {("r", "a", 0.5), ("r", "b", 0.5)} and graph.reach_counts(e, n).filter("reach > 0").count() == 0 and graph.components(e, n).count() == 2
 
 
 # Retrieval ------------------------------------------------------------------------------------------------------------------------------
@@ -189,12 +238,30 @@ def test_negation_distance(spark, text, hit):
 
 
 # Clones ---------------------------------------------------------------------------------------------------------------------------------
-def test_one_clone_pair(spark):
-    body = "\n".join(f"var x{i} = call_{i * 7 % 13}(y{i * i}, {i}) + z{i % 5}" for i in range(40))
-    f = spark.createDataFrame([(1, "extends A\n" + body), (2, "extends B\n\n" + body + "\nend"), (3, "unlike"), (4, None)], "file_id int, text string")
-    a = rows(clones.outermost(clones.clone_runs(f)))
-    assert len(a) == 1 and a[0][:2] == (1, 2) and a[0][4] >= 70 and a == rows(clones.outermost(clones.clone_runs(f)))
-    assert clones.duplicated_lines(clones.clone_runs(f)).first().dup_lines == 40
+BODY = """var best = 0
+for item in limit.rows:
+    if item.cost > best and not item.used:
+        best = item.cost * 2
+    elif item.kind == "rare":
+        push(item, best - 1)
+while best > limit.low:
+    best -= step(best) + 3
+    if best % 2 == 0: continue
+    mark[best] = true
+var total = sum(mark) / max(1, best)
+return [total, best, {"n": limit.n}] if total >= 4 else clamp(best, 0, limit.high)
+"""
+
+
+def test_clones_renamed_in_one_file_and_across(spark):
+    renamed = BODY.replace("best", "top").replace("item", "row").replace("2", "9")
+    f = [("r", 1, "a.gd", "extends A\n" + BODY), ("r", 2, "b.gd", "extends B\n\n# note\n" + renamed + "done()\n"), ("r", 3, "c.gd", "x"), ("r", 4, "d.gd", None), ("o", 5, "e.gd", BODY), ("p", 6, "f.gd", BODY + "\nother()\n" + renamed)]
+    f += [("q", 7, "g.gd", "[" + "1, 'a', " * 200 + "]"), ("q", 8, "h.gd", "[" + "2, 'b', " * 200 + "]")]
+    df = spark.createDataFrame(f, "repo string, file_id int, path string, text string")
+    runs = clones.clone_runs(clones.token_arrays(df))
+    got = {(r.repo, r.a, r.b): r for r in clones.outermost(runs).collect()}
+    assert set(got) == {("r", 1, 2), ("p", 6, 6)} and got["r", 1, 2].tokens >= 100 and (got["r", 1, 2].a_line, got["r", 1, 2].b_line) == (2, 4)
+    assert {(r.repo, r.file): r.dup_lines for r in clones.duplicated_lines(runs).collect()} == {("r", 1): 12, ("r", 2): 12, ("p", 6): 24}
 
 
 def test_winnow_takes_the_rightmost_minimum():
@@ -203,24 +270,42 @@ def test_winnow_takes_the_rightmost_minimum():
 
 # Contracts ------------------------------------------------------------------------------------------------------------------------------
 def test_keys(spark):
-    keys = spark.createDataFrame([("t", "a", "index", False), ("t", "b", "index", False)], "table_id string, key string, access string, open boolean")
-    sends = spark.createDataFrame([("t", "a", "f", 1), ("t", "z", "f", 2), ("t", "", "f", 3), ("t", None, "f", 4)], "table_id string, key string, file string, line int")
-    assert [(r.key, r.severity, r.id) for r in contracts.unknown_keys(sends, keys).collect()] == [("z", "high", "contract.unknown-key")]
-    assert rows(contracts.unsent_keys(sends, keys)) == [("t", "b")]
+    keys = spark.createDataFrame([("r", "f::t", "a", "index", False, False), ("r", "f::t", "b", "index", False, False), ("r", "f::u", "a", "get", False, True), ("r", "f::v", "a", "get", False, False)], "repo string, table_id string, key string, access string, open boolean, handled boolean")
+    sends = spark.createDataFrame([("r", t, k, "f", i) for i, (t, k) in enumerate([("f::t", "a"), ("f::t", "z"), ("f::t", ""), ("f::t", None), ("f::t", "y"), ("f::u", "q"), ("f::v", "q")])], "repo string, table_id string, key string, file string, line int")
+    fine = spark.createDataFrame([("r", "f::t", "y")], "repo string, table_id string, key string")
+    assert {(r.key, r.severity, r.id) for r in contracts.unknown_keys(sends, keys, fine).collect()} == {("z", "high", "contract.unknown-key"), ("q", "low", "contract.dropped-key")}
+    assert rows(contracts.unsent_keys(sends, keys)) == [("r", "f::t", "b")]
+    where = spark.createDataFrame([("r", "f", "b"), ("r", "g", "b")], "repo string, path string, value string")
+    assert rows(contracts.unsent_keys(sends, keys, where)) == [] and rows(contracts.unsent_keys(sends, keys, where.filter("path = 'f'"))) == [("r", "f::t", "b")]
+
+
+def test_payloads(spark):
+    need = spark.createDataFrame([("r", "t", "k", "x", 5, [4]), ("r", "t", "k", "y", 3, [4])], "repo string, table_id string, key string, field string, line int, returns array<int>")
+    send = lambda p, role: ("r", "t", "k", "f", 1, p, role)
+    s = spark.createDataFrame([send(["x", "y"], "code"), send(["y"], "code"), send([], "code"), send([], "test"), send(None, "code")], "repo string, table_id string, key string, file string, line int, payload array<string>, role string")
+    assert {(tuple(r.missing), r.severity) for r in contracts.payload_missing(s, need).collect()} == {(("x",), "medium"), (("x", "y"), "high"), (("x", "y"), "low")}
 
 
 def test_dangling_keys_with_patterns(spark):
-    c = spark.createDataFrame([("k", "f", 1, False), ("slot_3", "f", 2, False), ("g", "f", 3, True), ("w", "f", 4, False)], "key string, file string, line int, guarded boolean")
-    pat = spark.createDataFrame([("slot_%d",), ("plain",)], "f string").select(contracts.composed_pattern(F.col("f")).alias("pattern")).filter("pattern is not null")
-    got = contracts.dangling(c, spark.createDataFrame([("w",)], "key string"), pat)
-    assert rows(got) == [("g", 1, "contract.dead-branch"), ("k", 1, "contract.key-never-written")]
+    c = spark.createDataFrame([("r", "k", False), ("r", "slot_3", False), ("r", "g", True), ("r", "w", False), ("o", "w", False)], "repo string, key string, guarded boolean")
+    f = spark.createDataFrame([("r", "slot_%d"), ("r", "plain")], "repo string, value string")
+    got = contracts.dangling(c, spark.createDataFrame([("r", "w")], "repo string, key string"), f)
+    assert rows(got) == [("o", "w", 1, "contract.key-never-written"), ("r", "g", 1, "contract.dead-branch"), ("r", "k", 1, "contract.key-never-written")]
 
 
 def test_inherited_members(spark):
-    declared = spark.createDataFrame([("Base", "go"), ("Kid", "run")], "class string, member string")
-    refs = spark.createDataFrame([("Kid", "go", "f", 1), ("Kid", "fly", "f", 2), ("Engine", "x", "f", 3)], "class string, member string, file string, line int")
-    anc = graph.ancestors(spark.createDataFrame([("Kid", "Base"), ("Base", None)], "name string, parent string"))
-    assert rows(contracts.missing_members(refs, declared, anc)) == [("Kid", "fly", "f", 2)]
+    declared = spark.createDataFrame([("r", "Base", "go"), ("r", "Kid", "run")], "repo string, class string, member string")
+    refs = spark.createDataFrame([("r", "Kid", "go", "f", 1), ("r", "Kid", "fly", "f", 2), ("r", "Engine", "x", "f", 3)], "repo string, class string, member string, file string, line int")
+    anc = graph.ancestors(spark.createDataFrame([("r", "Kid", "Base"), ("r", "Base", None)], "repo string, name string, parent string"))
+    assert rows(contracts.missing_members(refs, declared, anc)) == [("r", "Kid", "fly", "f", 2)]
+
+
+@pytest.mark.parametrize("block", [200, 2])
+def test_shared_strings_in_blocks(spark, block):
+    s = spark.createDataFrame([("r", f"f{i:02}", v) for i in range(40) for v in (["x"] if i < 7 else []) + (["y"] if i % 9 == 0 else []) + ["all"]], "repo string, path string, value string")
+    got = contracts.shared_strings(s, spark.createDataFrame([("r", 40)], "repo string, files int"), block=block)
+    n = {(r.a, r.b): r.n for r in got.collect()}
+    assert len(n) == 21 + 10 and n["f00", "f01"] == 1 and set(n.values()) == {1}
 
 
 def test_enclosing_takes_the_smallest(spark):
@@ -229,13 +314,15 @@ def test_enclosing_takes_the_smallest(spark):
     assert rows(contracts.enclosing(p, s, "file_id")) == [(1, 5, "inner"), (1, 200, "outer")]
 
 
-def test_prefixes_tails_and_forwarding(spark):
-    assert rows(contracts.longest_prefix(spark.createDataFrame([("a.b.c",)], "module string"), spark.createDataFrame([("a", "1"), ("a.b", "2")], "name string, target string"))) == [("a.b.c", "2")]
+def test_prefixes_and_tails(spark):
+    assert rows(contracts.longest_prefix(spark.createDataFrame([("r", "a.b.c"), ("o", "a.b.c")], "repo string, module string"), spark.createDataFrame([("r", "a", "1"), ("r", "a.b", "2")], "repo string, name string, target string"))) == [("r", "a.b.c", "2")]
     m = spark.createDataFrame([(1, "core/x.gd"), (1, "ui/y.gd")], "doc_id int, mention string")
     assert rows(contracts.stale_references(m, spark.createDataFrame([("src/core/x.gd",)], "path string"))) == [(1, "ui/y.gd")]
-    r = spark.createDataFrame([("route", 0, "t")], "fn string, idx int, table_id string")
-    fw = spark.createDataFrame([("a", 1, "route", 0), ("b", 0, "a", 1)], "fn string, idx int, to_fn string, to_idx int")
-    assert rows(contracts.forwarded(r, fw)) == [("a", 1, "t"), ("b", 0, "t"), ("route", 0, "t")]
+
+
+def test_normal_paths(spark):
+    p = spark.createDataFrame([("a/../b/./c.py",), ("../x",), ("a//b",), ("./a",), ("a/../../b",)], "p string")
+    assert [r[0] for r in p.select(X.normal_path(F.col("p"))).collect()] == ["b/c.py", "../x", "a/b", "a", "../b"]
 
 
 def test_excluded_and_gate(spark):
