@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -204,6 +205,62 @@ EVIDENCE = [
 _ABOUT = re.compile(lx.ABOUT)
 
 
+def needed(pattern: str) -> set[str] | None:
+    """Literals one of which stands in every match of a pattern (the best choice at each place), read off the parsed pattern; None if it needs none."""
+
+    def of(items) -> set[str] | None:
+        best, run = None, ""
+
+        def take(x: set[str] | None) -> None:
+            nonlocal best
+            if x and (best is None or (min(map(len, x)), -len(x)) > (min(map(len, best)), -len(best))):
+                best = x
+
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(arg)
+                continue
+            take({run} if run else None)
+            run = ""
+            if name == "SUBPATTERN":
+                take(of(arg[3]))
+            elif name == "BRANCH":
+                each = [of(x) for x in arg[1]]
+                take(None if any(x is None for x in each) else set().union(*each))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                take(of(arg[2]))
+        take({run} if run else None)
+        return best
+
+    return of(re._parser.parse(pattern))
+
+
+@lru_cache(1)
+def _gate() -> tuple:
+    """One Aho-Corasick automaton over the literals that the patterns of evidence need, each with the numbers of its patterns, and the patterns that need
+    none. A pattern is only tried where one of its literals stands: it couldn't match elsewhere."""
+    import ahocorasick
+
+    table: dict[str, set[int]] = {}
+    free = []
+    for i, (_, _, pattern) in enumerate(EVIDENCE):
+        words = needed(pattern.pattern)
+        if words is None:
+            free.append(i)
+        for w in words or ():
+            table.setdefault(w, set()).add(i)
+    auto = ahocorasick.Automaton()
+    for w, numbers in table.items():
+        auto.add_word(w, tuple(numbers))
+    auto.make_automaton()
+    return auto, free
+
+
+#: Without any of these a passage holds nothing that ``_SUSPECT`` could match.
+_HINT = re.compile(r"[^\W\d_][\d@$!|+€£¡*#•●×]|[\d@$!|+€£¡*#•●×][^\W\d_]|([^\W\d_])\1\1|(?<!\w)[^\W_][ .\-_·,]{1,2}[^\W_][ .\-_·,]|[Ͱ-ӿԀ-ԯ]")
+
+
 def lexicon_words() -> dict[str, float]:
     """Words of the lexicon, with weight, for the language model."""
     words = [w.rstrip("*") for part in (lx.INSULTS, lx.VULGAR, lx.NAMES, lx.ADJECTIVES, lx.SEXUAL) for w in part]
@@ -222,6 +279,7 @@ class Scorer:
         self.model = CharModel(self.lexicon, corpus)
         self.learned = learned or {}
         self.known: dict[tuple[str, bool, bool], str | None] = {}
+        self.seen: dict[str, tuple[float, str, str]] = {}
 
     def reading(self, stretch: str, spaced: bool, emphasis: bool = False) -> str | None:
         """The restored stretch, or None where it stays as it is (unknown words, or nothing but a plain word). Marks at its end stand for
@@ -247,7 +305,9 @@ class Scorer:
         return self.known[key]
 
     def restore(self, passage: str) -> str:
-        p = passage.translate(INVISIBLE)
+        p = passage if passage.isascii() else passage.translate(INVISIBLE)
+        if not _HINT.search(p):
+            return re.sub(r"\s+", " ", p).lower()
         closed = {m.end() for m in _EMPHASIS.finditer(p)}
 
         def swap(m: re.Match) -> str:
@@ -261,7 +321,9 @@ class Scorer:
         text = self.restore(passage)
         best: dict[str, float] = {}
         miss = 1.0
-        for kind, weight, pattern in EVIDENCE:
+        auto, free = _gate()
+        for i in sorted({i for _, numbers in auto.iter(text) for i in numbers}.union(free)):
+            kind, weight, pattern = EVIDENCE[i]
             if pattern.search(text):
                 best[kind] = max(best.get(kind, 0.0), weight)
                 miss *= 1 - weight
@@ -281,7 +343,12 @@ class Scorer:
         for p in _SPLIT.split(text or ""):
             if not p or p.isspace():
                 continue
-            s, kind, restored = self.passage(p)
+            got = self.seen.get(p)
+            if got is None:
+                if len(self.seen) > 50_000:
+                    self.seen.clear()
+                got = self.seen[p] = self.passage(p)
+            s, kind, restored = got
             if s > top[0]:
                 top = (s, kind, p.strip(), restored)
         return top
@@ -336,6 +403,6 @@ def abuse(docs: DataFrame, votes: DataFrame | None = None) -> DataFrame:
 
 def rates(scores: DataFrame, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(source, documents, abusive, rate) by trimmed, lower-cased source; null sources are one group."""
-    flags = scores.select(F.col("doc_id").alias("d"), (F.col("score") >= threshold).alias("bad")).distinct()
+    flags = scores.groupBy(F.col("doc_id").alias("d")).agg(F.bool_or(F.col("score") >= threshold).alias("bad"))
     s = docs.select("doc_id", F.lower(F.trim("source")).alias("source")).distinct().join(flags, F.col("doc_id") == F.col("d"))
     return s.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("bad").alias("abusive")).withColumn("rate", F.col("abusive") / F.col("documents"))

@@ -90,9 +90,9 @@ def shared_runs(pdf: pd.DataFrame, span: int, grid: int = 84) -> pd.DataFrame:
     lens = pdf.text.str.len().to_numpy()
     joined = np.frombuffer("\0".join(pdf.text).encode("utf-32-le") + b"\0\0\0\0", np.uint32)
     alphabet, codes = np.unique(joined, return_inverse=True)
-    codes = codes.astype(np.int64) + (1 if alphabet[0] != 0 else 0)
+    codes = codes.astype(np.int64) + 1
     first = np.r_[0, np.cumsum(lens + 1)[:-1]]
-    codes[first + lens] = 0  # a NUL inside a text keeps code 0 as well: no run is followed across it
+    codes[first + lens] = 0  # 0 stands between the texts only: a NUL inside a text is a character like others
     role, place, h = pdf.role.to_numpy(), pdf.place.to_numpy(), pdf.h.to_numpy()
     one = bool((role == 0).all())
     index_rows = np.flatnonzero(role != 2)
@@ -106,7 +106,7 @@ def shared_runs(pdf: pd.DataFrame, span: int, grid: int = 84) -> pd.DataFrame:
     else:
         text = np.concatenate([codes[first[i] : first[i] + lens[i] + 1] for i in index_rows]) if len(index_rows) else np.zeros(1, np.int64)
         where = np.r_[0, np.cumsum(lens[index_rows] + 1)[:-1]] if len(index_rows) else np.zeros(1, np.int64)
-    index = FMIndex(text, len(alphabet), span)
+    index = FMIndex(text, len(alphabet) + 1, span)
     asked = np.flatnonzero(role != 1)
     ends = np.arange(0, width + 1, grid)
     q = np.repeat(asked, len(ends))

@@ -16,6 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.operators.ranking import running_sum
+from codestrata.session import cut
+
+#: A pair counts as surprising at all if its joint count or a larger one has at most this chance under the null model. The level is wide: it
+#: only keeps out what the model explains; ``significant`` is the strict one.
+UNLIKELY = 0.25
+KINDS = 500_000  # kinds of pairs (frequency, frequency, joint count) sent to every executor at most
 
 
 def baskets(rows: DataFrame, group: str, basket: str, item: str, low: int, high: int) -> DataFrame:
@@ -69,46 +75,85 @@ def _fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return one
 
 
-def tail(k: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """P(X >= k) for X a sum of independent Binomial(n[j, s], q[j, s]) over s: one exact convolution per row, truncated where the rest is
-    below 1e-12 of the result. Counts up to the mean come from the complement, where nothing cancels; the others from the tail itself."""
+def tail(k: np.ndarray, q: np.ndarray, n: np.ndarray, direct: int = 1_000) -> np.ndarray:
+    """P(X >= k) for X a sum of independent Binomial(n[j, s], q[j, s]) over s, one row each, truncated where the rest is below 1e-12 of the result.
+    Counts up to ``direct`` are convolved, larger ones go through ``tilted_tail``. Counts up to the mean come from the complement, where nothing
+    cancels; the others from the tail itself."""
     mean = (n * q).sum(1)
-    low, far = k <= mean, k > 2 * mean
-    near = ~low & ~far
+    far_out = np.flatnonzero(k > direct)
     out = np.empty(len(k))
+    for i in far_out:
+        out[i] = tilted_tail(int(k[i]), q[i], n[i])
+    low, far = (k <= mean) & (k <= direct), (k > 2 * mean) & (k <= direct)
+    near = (k <= direct) & ~low & ~far
     for part, span in ((low, 0), (near, 45 + int(np.ceil(10 * np.sqrt(mean[near].max(initial=0))))), (far, 45)):
         rows = np.flatnonzero(part)
-        for start in range(0, len(rows), 2048):
-            r = rows[np.argsort(k[rows], kind="stable")][start : start + 2048]
+        rows = rows[np.argsort(k[rows], kind="stable")]
+        start = 0
+        while start < len(rows):
+            # rows of like counts together, so many that their table stays small
+            size = max(1, min(2048, 1_000_000 // (int(k[rows[min(start + 2047, len(rows) - 1)]]) + span + 1)))
+            r = rows[start : start + size]
+            start += size
             length = int(k[r].max()) + span + 1
             pmf = np.zeros((len(r), length))
             pmf[:, 0] = 1
+            j = np.arange(1, length)
             for s in range(q.shape[1]):
                 qs, ns = np.clip(q[r, s], 0, 1 - 1e-12), n[r, s]
-                j = np.arange(1, length)
                 with np.errstate(divide="ignore"):  # by logarithms: the chance of none underflows in large groups
                     steps = np.log(np.maximum(ns[:, None] - j + 1, 0) / j) + np.log(qs / (1 - qs))[:, None]
                 one = np.exp((ns * np.log1p(-qs))[:, None] + np.c_[np.zeros(len(r)), np.cumsum(steps, 1)])
                 top = int(np.flatnonzero(one.any(0)).max(initial=0)) + 1
                 new = np.zeros_like(pmf)
-                for j in range(top):
-                    new[:, j:] += pmf[:, : length - j] * one[:, j : j + 1]
+                for d in range(top):
+                    new[:, d:] += pmf[:, : length - d] * one[:, d : d + 1]
                 pmf = new
             at = np.arange(length)
             out[r] = 1 - (pmf * (at < k[r][:, None])).sum(1) if span == 0 else (pmf * (at >= k[r][:, None])).sum(1)
     return np.clip(out, 0, 1)
 
 
+def tilted_tail(k: int, q: np.ndarray, n: np.ndarray) -> float:
+    """The same for one large count: the success probabilities are tilted until k is the mean, the tilted distribution near k comes from its
+    characteristic function by one Fourier transform, and is tilted back. Time and memory grow with the square root of k."""
+    q, n = q[(q > 0) & (n > 0)], n[(q > 0) & (n > 0)]
+    q = np.minimum(q, 1 - 1e-12)
+    if k > n.sum():
+        return 0.0
+    complement = k <= (n * q).sum()
+    at = min(max(k, 0.5), n.sum() - 0.5)
+    lo, hi = -60.0, 60.0
+    for _ in range(200):
+        t = (lo + hi) / 2
+        e = np.exp(t)
+        lo, hi = (t, hi) if (n * q * e / (1 - q + q * e)).sum() < at else (lo, t)
+    r = q * np.exp(t) / (1 - q + q * np.exp(t))
+    log_mass = float((n * np.log(1 - q + q * np.exp(t))).sum())
+    half = int(14 * np.sqrt((n * r * (1 - r)).sum()) + 60)
+    size = 1 << int(2 * half).bit_length()
+    first = k - size // 2
+    w = 2 * np.pi * np.arange(size) / size
+    phi = np.exp((n[:, None] * np.log(1 - r[:, None] + r[:, None] * np.exp(1j * w))).sum(0) - 1j * w * first)
+    pmf = np.maximum(np.fft.fft(phi).real / size, 0)
+    x = first + np.arange(size)
+    pmf[(x < 0) | (x > n.sum())] = 0
+    side = x < k if complement else x >= k
+    p = float((pmf[side] * np.exp(log_mass - t * x[side])).sum())
+    return 1 - p if complement else p
+
+
 def surprise(rows: DataFrame, group: str, basket: str, item: str, low: int = 2, high: int = 30, least: int = 2, alpha: float = 0.05) -> DataFrame:
     """(g, a, b, n, n_a, n_b, n_ab, lift, p_value, significant) for each pair of items of a group with ``least`` common baskets.
-    Ranks count the pairs with ``least`` common baskets only: with 1, every observed pair is ranked.
+    With ``least`` 1 every observed pair is counted, ranked and tested; above it ``significant`` is null, as ranks over some of the pairs mean nothing.
 
     n: the group's baskets of ``low`` to ``high`` items. lift = n_ab n / (n_a n_b). p_value: chance of n_ab or more under the null model.
     significant: p_value is under the Benjamini-Hochberg threshold at ``alpha`` over all pairs of the group's items. a < b by code point.
     Repeated rows count once; groups without any basket of that size give no rows.
     """
-    b = baskets(rows, group, basket, item, low, high)
+    b = cut(baskets(rows, group, basket, item, low, high))
     pairs, freq = pair_counts(b, least)
+    pairs = cut(pairs)
     sizes = b.groupBy("g", "c").agg(F.first("size").alias("k")).groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
     hist = freq.groupBy("g", F.col("n_i").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     both = hist.withColumn("kind", F.lit("item")).unionByName(sizes.withColumn("kind", F.lit("basket")))
@@ -134,7 +179,10 @@ def surprise(rows: DataFrame, group: str, basket: str, item: str, low: int = 2,
     tests = F.col("items") * (F.col("items") - 1) / 2
     cut_at = ranked.groupBy("g").agg(F.max(F.when(F.col("p_value") <= alpha * F.col("rank") / tests, F.col("p_value"))).alias("cut_at"))
     kinds = ranked.join(cut_at, "g").select("g", "lo", "hi", "n_ab", "n", "p_value", F.coalesce(F.col("p_value") <= F.col("cut_at"), F.lit(False)).alias("significant"))
+    kinds = cut(kinds)
+    # most rare pairs of a group are of one kind: kinds go to the pairs if they are counted few, else skew handling splits the hot kind
+    kinds = F.broadcast(kinds) if kinds.limit(KINDS + 1).count() <= KINDS else kinds
     keyed = pairs.withColumns({"lo": F.least("n_a", "n_b"), "hi": F.greatest("n_a", "n_b")})
     return keyed.join(kinds, ["g", "lo", "hi", "n_ab"]).select(
-        "g", "a", "b", "n", "n_a", "n_b", "n_ab", (F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))).alias("lift"), "p_value", "significant"
+        "g", "a", "b", "n", "n_a", "n_b", "n_ab", (F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))).alias("lift"), "p_value", F.col("significant") if least == 1 else F.lit(None).cast("boolean").alias("significant")
     )

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import cut
+
 
 def term_array(text: Column, shortest: int = 3) -> Column:
     """The terms of a text in order; null or empty text has none."""
@@ -36,22 +38,29 @@ def term_weights(units: DataFrame, window: int = 4, shortest: int = 3) -> DataFr
 
     Rarity is measured among records of the same kind. Records without terms give no rows and do not count as records of the rarity.
     A term that a third of all records hold costs one combined row per map task in the counts; the join with its count is left to skew
-    handling by size (adaptive execution).
+    handling by size (adaptive execution). The neighbours of a term in one record are collected as a set: at most the record's vocabulary.
     """
     t = units.select("record_kind", "record_key", term_array(F.col("text"), shortest).alias("terms")).filter(F.size("terms") > 0)
-    tf = t.select("record_kind", "record_key", F.explode("terms").alias("term")).groupBy("record_kind", "record_key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    edges = t.select("record_kind", "record_key", F.explode(neighbour_pairs(F.col("terms"), window)).alias("p")).select("record_kind", "record_key", F.col("p.a").alias("term"), F.col("p.b").alias("other"))
-    degree = edges.distinct().groupBy("record_kind", "record_key", "term").agg(F.count(F.lit(1)).alias("neighbours"))
+    # one row per occurrence (no neighbour) and per neighbour of a unit; both are counted for a record's term in one pass, combined before the shuffle
+    alone = F.transform("terms", lambda x: F.struct(x.alias("a"), F.lit(None).cast("string").alias("b")))
+    e = t.select("record_kind", "record_key", F.explode(F.concat(alone, neighbour_pairs(F.col("terms"), window))).alias("p"))
+    tf = e.groupBy("record_kind", "record_key", F.col("p.a").alias("term")).agg(F.count_if(F.col("p.b").isNull()).alias("tf"), F.size(F.collect_set("p.b")).cast("long").alias("neighbours"))
+    tf = cut(tf)
     df = tf.groupBy("record_kind", "term").agg(F.count(F.lit(1)).alias("df"))
-    records = t.select("record_kind", "record_key").distinct().groupBy("record_kind").agg(F.count(F.lit(1)).alias("records"))
-    scored = tf.join(degree, ["record_kind", "record_key", "term"], "left").join(df, ["record_kind", "term"]).join(F.broadcast(records), "record_kind")
-    deg = F.coalesce("neighbours", F.lit(0))
+    records = tf.select("record_kind", "record_key").distinct().groupBy("record_kind").agg(F.count(F.lit(1)).alias("records"))
+    scored = tf.join(df, ["record_kind", "term"]).join(F.broadcast(records), "record_kind")
+    deg = F.col("neighbours")
     return scored.select(
         "record_kind", "record_key", "term", "tf", deg.alias("neighbours"), "df", "records",
         ((1 + deg) * F.ln((F.col("records") + 1) / F.col("df"))).alias("weight"),
     )
 
 
+def least_weight(df: int) -> Column:
+    """The weight that a term of at most ``df`` records can't fall below, whatever its neighbours: from (records)."""
+    return F.ln((F.col("records") + 1) / F.lit(df))
+
+
 def units_of(symbols: DataFrame, facts: DataFrame, commits: DataFrame) -> DataFrame:
     """Text units of files (symbol names, documentation) and commits (subjects); exact duplicate rows count once, re-loaded commits by sha."""
     s = symbols.distinct().select(F.lit("file").alias("record_kind"), F.col("file_id").cast("string").alias("record_key"), F.col("symbol").alias("text"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,8 +28,20 @@ def words(text: str | None) -> list[str]:
     return [w.lower() for w in WORD.findall(text or "")]
 
 
-def automaton(items: list[tuple[int, str]], span: int):
-    """The automaton, its word numbers (0: no item's word) and, per pattern, the items it stands in."""
+_BUILT: dict[tuple, tuple] = {}
+
+
+def held_automaton(mark: str, items: list[tuple[int, str]], span: int, least: int):
+    """The automaton of a broadcast block, built once in a Python worker however many tasks it runs; the block before is dropped."""
+    if (mark, span, least) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[mark, span, least] = automaton(items, span, least)
+    return _BUILT[mark, span, least]
+
+
+def automaton(items: list[tuple[int, str]], span: int, least: int = 5):
+    """The automaton, its word numbers (0: no item's word) and, per pattern, the items it stands in. Items of ``least`` to ``span`` - 1 words are one
+    pattern as a whole."""
     import ahocorasick
 
     number: dict[str, int] = {}
@@ -37,36 +50,39 @@ def automaton(items: list[tuple[int, str]], span: int):
         seq = [number.setdefault(w, len(number) + 1) for w in words(text)]
         for k in range(len(seq) - span + 1):
             patterns.setdefault(tuple(seq[k : k + span]), set()).add(item)
+        if least <= len(seq) < span:
+            patterns.setdefault(tuple(seq), set()).add(item)
     auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for p, where in patterns.items():
-        auto.add_word(p, tuple(sorted(where)))
+        auto.add_word(p, (len(p), tuple(sorted(where))))
     if patterns:
         auto.make_automaton()
     return (auto if patterns else None), number
 
 
 def matches(text: str | None, auto, number: dict[str, int], span: int) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, words) of each maximal run of ``span`` or more words of an item; offsets are of the text as given."""
+    """(item, start, end, words) of each maximal run of ``span`` or more words of an item, and of each shorter item as a whole; offsets are of the text as
+    given."""
     if auto is None or not text:
         return []
     seq = tuple([number.get(w.lower(), 0) for w in WORD.findall(text)])
     runs: dict[int, list[list[int]]] = {}
-    for end, where in auto.iter(seq) if len(seq) >= span else ():
+    for end, (size, where) in auto.iter(seq):
         for item in where:
             have = runs.setdefault(item, [])
-            if have and have[-1][1] == end - 1:
+            if have and have[-1][1] == end - 1 and size == span:
                 have[-1][1] = end
             else:
-                have.append([end - span + 1, end])
+                have.append([end - size + 1, end])
     if not runs:
         return []
     at = [m.span() for m in WORD.finditer(text)]
     return [(item, at[a][0], at[b][1], b - a + 1) for item, have in runs.items() for a, b in have]
 
 
-def leaks(docs: DataFrame, items: DataFrame, span: int = 12, block_words: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, span: int = 12, block_words: int = 500_000, least: int = 5) -> DataFrame:
     """(doc_id, item_id, start, end, words) of documents (doc_id, text) holding ``span`` or more consecutive words of an item (item_id,
-    item_text). Null and empty texts hold nothing; items shorter than ``span`` words can't be held; repeated rows are reported once each.
+    item_text), or the whole of an item of ``least`` to ``span`` - 1 words. Null and empty texts hold nothing; repeated rows are reported once each.
     """
     spark = docs.sparkSession
     src = items.filter(F.col("item_text").isNotNull()).select("item_id", "item_text").distinct()
@@ -78,8 +94,8 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = 12, block_words: int =
         mine = [tuple(r) for r in src.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
         held = spark.sparkContext.broadcast(mine)
 
-        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            auto, number = automaton(held.value, span)
+        def scan(batches: Iterator[pd.DataFrame], held=held, mark=uuid4().hex) -> Iterator[pd.DataFrame]:
+            auto, number = held_automaton(mark, held.value, span, least)
             for b in batches:
                 rows = [(d, *m) for d, t in zip(b.doc_id, b.text) for m in matches(t, auto, number, span)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "words"])

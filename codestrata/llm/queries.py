@@ -33,8 +33,11 @@ def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    s = p2_surprise(spark, d).filter((F.col("n_ab") >= 6) & (F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b")) & F.col("p_value").isNotNull())
-    return s.select("repo", "path_a", "path_b")
+    """Pairs whose joint count the null model makes unlikely (see ``p2_pairs.UNLIKELY``), then the exact check of the definition. Pairs below 6 common
+    commits can't be cases, so their tails aren't asked for."""
+    s = p2_pairs.surprise(table(spark, d, "commit_files"), "repo", "sha", "path", least=6).filter(F.col("p_value") <= p2_pairs.UNLIKELY)
+    s = s.filter((F.col("n_ab") >= 6) & (F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b")))
+    return s.select(F.col("g").alias("repo"), F.col("a").alias("path_a"), F.col("b").alias("path_b"))
 
 
 def p3_origins(spark: SparkSession, d: str) -> DataFrame:
@@ -50,9 +53,10 @@ def p4_terms_of_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    w = p4_terms_of_records(spark, d)
-    rare = F.col("df").between(2, 5) & (F.col("weight") > 0)
-    return w.filter(rare & ((F.col("record_kind") == "commit") | (F.col("tf") >= 3))).select("record_kind", "record_key", "term")
+    """Terms whose weight reaches what five records leave to any term, then the exact check of the definition."""
+    w = p4_terms_of_records(spark, d).filter(F.col("weight") >= p4_terms.least_weight(5))
+    exact = F.col("df").between(2, 5) & ((F.col("record_kind") == "commit") | (F.col("tf") >= 3))
+    return w.filter(exact).select("record_kind", "record_key", "term")
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +87,8 @@ def p7_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_order(spark, d).filter((F.col("tops") >= 3) & (F.col("place") >= 1)).select("file_id")
+    """Files whose leximin vector, but for its weakest score, lies within the repository's top tenth."""
+    return p7_ranking.tops(p7_order(spark, d)).select("file_id")
 
 
 def p8_leaks_in_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +96,7 @@ def p8_leaks_in_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_leaks_in_documents(spark, d).select("doc_id", "item_id").distinct()
+    return p8_leaks_in_documents(spark, d).filter("words >= 12").select("doc_id", "item_id").distinct()
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +104,8 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_report(spark, d).filter("short").select("source")
+    """Sources that the flow leaves short, then the exact check of the definition."""
+    return p9_report(spark, d).filter("short and capacity_tokens < target_tokens").select("source")
 
 
 def p9_blend(spark: SparkSession, d: str) -> DataFrame:

@@ -146,6 +146,10 @@ def test_tail_of_rare_pairs_does_not_cancel():
     got = p2_pairs.tail(np.array([5, 6]), q, n)
     want = [sum(math.comb(m, j) * x**j * (1 - x) ** (m - j) for j in range(k, m + 1)) for k, x, m in ((5, 1e-4, 50), (6, 1e-5, 100))]
     assert np.allclose(got, want, rtol=1e-6, atol=0)
+    for k, q1, n1 in ((1200, [0.3, 0.02], [3000.0, 9000.0]), (1500, [0.3, 0.02], [3000.0, 9000.0]), (1001, [0.4, 0.1], [3000.0, 200.0])):
+        direct = p2_pairs.tail(np.array([k]), np.array([q1]), np.array([n1]), direct=10_000)[0]
+        assert abs(p2_pairs.tilted_tail(k, np.array(q1), np.array(n1)) - direct) <= 1e-6 * direct
+    assert p2_pairs.tilted_tail(51_000, np.array([0.5]), np.array([100_000.0])) < 1e-9
     assert 0.4 < p2_pairs.tail(np.array([2000]), np.array([[0.5]]), np.array([[4000.0]]))[0] < 0.6
 
 
@@ -299,9 +303,12 @@ def test_memo_is_shared_and_bounded():
 def test_leximin(spark):
     m = [(k, "r", float(k), k, k, k, "x") for k in range(1, 21)] + [(30, "r", 99.0, 0, 0, 0, "x"), (31, "r", None, None, None, None, "x"), (40, "q", 1.0, 1, 1, 1, "x")]
     f = spark.createDataFrame(m, "file_id long, repo string, a double, b int, c int, d int, percentiles string")
-    got = {r.file_id: r for r in p7_ranking.leximin(f, "file_id", "repo", ["a", "b", "c", "d"]).collect()}
+    order = p7_ranking.leximin(f, "file_id", "repo", ["a", "b", "c", "d"])
+    got = {r.file_id: r for r in order.collect()}
     assert got[20].place == 1 and got[19].place == 2 and got[30].weakest == 0 and got[30].place > got[2].place and got[40].place == 1
-    assert {k for k, r in got.items() if r.tops >= 3} == {18, 19, 20, 40} and got[30].tops == 1 and got[31].tops == 0 and len(got) == 23
+    assert {r.file_id for r in p7_ranking.tops(order).collect()} == {18, 19, 20, 40} and len(got) == 23
+    # the vectors decide: with the weakest score of all the top ones are others
+    assert {r.file_id for r in p7_ranking.tops(order, but=0).collect()} == {19, 20, 40} and {r.file_id for r in p7_ranking.tops(order, but=3).collect()} == {18, 19, 20, 30, 40}
 
 
 def test_latest_rows(spark):
@@ -334,12 +341,56 @@ def test_leaks_equal_brute_force(spark):
         assert len(p8_leaks.words(piece)) == r.words >= 5
 
 
+def test_short_items_are_found_whole():
+    auto, number = p8_leaks.automaton([(1, "one two three four five"), (2, "one two"), (3, "a b c d e f g h i j k l m")], 12)
+    m = lambda t: [(i, t[a:b], n) for i, a, b, n in p8_leaks.matches(t, auto, number, 12)]
+    assert m("so One, two - three four FIVE one two") == [(1, "One, two - three four FIVE", 5)] and m("one two three four") == [] and m("x a b c d e f g h i j k l m y")[0][2] == 13
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------------------------------
 def test_flow_prefers_fresh_tokens_and_keeps_shared_ones_for_the_poor():
-    sent = p9_mixing.min_cost_flow({"a": 100.0, "b": 10.0, "a|b": 50.0}, {"a": ["a"], "b": ["b"], "a|b": ["a", "b"]}, {"a": 100.0, "b": 80.0}, {"a": 2, "b": 2})
+    own = {("a", "a"): 100.0, ("b", "b"): 10.0, ("a|b", "a"): 10.0, ("a|b", "b"): 40.0}
+    sent = p9_mixing.min_cost_flow(own, {"a": 100.0, "b": 80.0}, {"a": 2, "b": 2})
     assert sent["a", "a"] == 100 and sum(v for (_, s), v in sent.items() if s == "b") == 80 and sent["a|b", "b"] >= 50
 
 
+def test_flow_equals_brute_force_and_fills_what_it_can():
+    rng = random.Random(3)
+    for _ in range(60):
+        own = {(p, s): float(rng.randrange(1, 4)) for p in ("x", "y") for s in ("a", "b") if rng.random() < 0.8}
+        quota, reps = {"a": float(rng.randrange(0, 6)), "b": float(rng.randrange(0, 6))}, {"a": rng.randrange(1, 3), "b": rng.randrange(1, 3)}
+        sent = p9_mixing.min_cost_flow(own, quota, reps)
+        for s in quota:
+            assert abs(sum(v for (_, t), v in sent.items() if t == s) - min(quota[s], sum(t * reps[s] for (_, x), t in own.items() if x == s))) < 1e-6
+
+        def price(x):
+            total = 0.0
+            for p in ("x", "y"):
+                size, left, r = sum(t for (q, _), t in own.items() if q == p), sum(v for (q, _), v in x.items() if q == p), 1
+                shared = sum(q == p for q, _ in own) - 1
+                total += 0.001 * shared * left
+                while left > 1e-9:
+                    total += r * min(left, size)
+                    left, r = left - size, r + 1
+            return total
+
+        keys = list(own)
+        best = min((price(dict(zip(keys, c))) for c in itertools.product(*[range(int(own[k] * reps[k[1]]) + 1) for k in keys]) if all(sum(v for k, v in zip(keys, c) if k[1] == s) == min(quota[s], sum(own[k] * reps[s] for k in keys if k[1] == s)) for s in quota)), default=0.0)
+        assert price(sent) <= best + 1e-6
+
+
+def test_flow_of_many_patterns_is_quick():
+    import time
+
+    rng = random.Random(1)
+    names = [f"s{i}" for i in range(11)]
+    own = {(f"p{k}", s): float(rng.randrange(1, 999)) for k in range(2047) for s in rng.sample(names, rng.randrange(1, 6))}
+    whole = sum(own.values())
+    began = time.time()
+    sent = p9_mixing.min_cost_flow(own, {s: whole * rng.random() / 3 for s in names}, dict.fromkeys(names, 4))
+    assert sent and time.time() - began < 60
+
+
 def test_blend_reaches_targets(spark):
     docs = [(k, f"text number {k} " + "word " * (5 + k % 7), [" Wiki", "forum ", "FORUM"][k % 3]) for k in range(60)]
     docs += [(100, docs[0][1], "forum"), (101, None, "wiki"), (102, "", None), docs[3], (103, "lonely words here", "other")]
@@ -381,6 +432,19 @@ def test_end_masks_and_long_stretches_are_read(text):
     assert SCORER.text(text)[0] >= 0.5, SCORER.text(text)
 
 
+def test_gate_loses_no_evidence():
+    auto, free = p10_abuse._gate()
+    for t in ["you are a worthless idiot", "kill yourself", "immigrants are vermin", "send nudes", "halt die fresse", "get lost, moron!", "they are all liars and thieves", "nobody here likes you", "fine text"]:
+        tried = {i for _, numbers in auto.iter(t) for i in numbers}.union(free)
+        assert {i for i, e in enumerate(p10_abuse.EVIDENCE) if e[2].search(t)} <= tried
+
+
+def test_rates_count_a_document_once(spark):
+    docs = spark.createDataFrame([(1, "fine", "a"), (1, "you idiot", "a")], "doc_id long, text string, source string")
+    s = spark.createDataFrame([(1, 0.0), (1, 0.9)], "doc_id long, score double")
+    assert rows(p10_abuse.rates(s, docs)) == [("a", 1, 1, 1.0)]
+
+
 def test_emphasis_masks_nothing():
     assert SCORER.restore("**get the shi**") == "**get the shi**" and SCORER.restore("get the shi**") == "get the shits"
 
