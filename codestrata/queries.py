@@ -467,15 +467,15 @@ def dangling_keys(s, d):
 
 
 @query(
-    "WITH u AS (SELECT DISTINCT f.repo, f.path, line, func_name AS key, params FROM funcs JOIN files f USING (file_id) WHERE func_name IS NOT NULL AND params IS NOT NULL), k AS (SELECT DISTINCT repo, path, line, key, unnest(params) AS field FROM u), n AS (SELECT repo, key, count(*) AS n FROM u GROUP BY ALL),"
-    " need AS (SELECT repo, key, field FROM k JOIN n USING (repo, key) GROUP BY repo, key, field, n HAVING count(*) >= n / 2) SELECT u.repo, u.path, line, u.key, array_to_string(list_sort(list(field)), ',') AS missing, 'high' AS severity FROM u JOIN need ON need.repo = u.repo AND need.key = u.key WHERE NOT list_contains(params, field) GROUP BY ALL"
+    "WITH u AS (SELECT DISTINCT f.repo, f.path, line, regexp_extract(func_name, '^[A-Za-z][a-z]*') AS key, params FROM funcs JOIN files f USING (file_id) WHERE func_name IS NOT NULL AND params IS NOT NULL), k AS (SELECT DISTINCT repo, path, line, key, unnest(params) AS field FROM u), n AS (SELECT repo, key, count(*) AS n FROM u GROUP BY ALL),"
+    " need AS (SELECT repo, key, field FROM k JOIN n USING (repo, key) GROUP BY repo, key, field, n HAVING count(*) >= n / 4) SELECT u.repo, u.path, line, u.key, array_to_string(list_sort(list(field)), ',') AS missing, 'high' AS severity FROM u JOIN need ON need.repo = u.repo AND need.key = u.key WHERE NOT list_contains(params, field) GROUP BY ALL"
 )
 def payload_missing_keys(s, d):
-    """Functions that lack a parameter which half of the functions of their name in the repository take."""
-    e = _t(s, d, "funcs").select("file_id", "line", F.col("func_name").alias("key"), F.col("params").alias("payload")).filter("key is not null and payload is not null")
+    """Functions that lack a parameter which a quarter of the functions with the same first word in the repository take."""
+    e = _t(s, d, "funcs").select("file_id", "line", F.regexp_extract("func_name", "^[A-Za-z][a-z]*", 0).alias("key"), F.col("params").alias("payload")).filter("key is not null and payload is not null")
     e = e.join(_t(s, d, "files").select("file_id", "repo", F.col("path").alias("file")), "file_id").select("repo", F.lit("functions").alias("table_id"), "key", "file", "line", "payload").distinct()
     n = e.groupBy("repo", "key").agg(F.count(F.lit(1)).alias("n"))
-    need = e.select("repo", "key", "file", "line", F.explode(F.array_distinct("payload")).alias("field")).groupBy("repo", "key", "field").agg(F.count(F.lit(1)).alias("k")).join(n, ["repo", "key"]).filter(F.col("k") >= F.col("n") / 2)
+    need = e.select("repo", "key", "file", "line", F.explode(F.array_distinct("payload")).alias("field")).groupBy("repo", "key", "field").agg(F.count(F.lit(1)).alias("k")).join(n, ["repo", "key"]).filter(F.col("k") >= F.col("n") / 4)
     need = need.select("repo", F.lit("functions").alias("table_id"), "key", "field", F.lit(1).alias("line"), F.array().cast("array<int>").alias("returns"))
     return contracts.payload_missing(e, need).select("repo", F.col("file").alias("path"), "line", "key", F.array_join("missing", ",").alias("missing"), "severity")
 

@@ -46,7 +46,7 @@ def test_rules_pointed_and_commands(spark):
     w = parts(spark).withColumn("weight", F.lit(3))
     names = spark.createDataFrame([("r", "m.gd", "Model")], "repo string, path string, name string")
     got = documents.rules(w.filter("part = 'sentence'"), w.filter("part = 'row'"), names, spark.createDataFrame([("r", "m.gd")], "repo string, path string")).collect()
-    assert {r.text for r in got} == {"`Model` is pure: no `Screen`.", "The Model must never be late.", "file Model; note pure"} and all(r.on_seed == 1 for r in got)
+    assert {r.text for r in got} == {"The Model must never be late.", "file Model; note pure"} and all(r.on_seed == 1 for r in got)
     docs = spark.createDataFrame([("r", "AGENTS.md", 3), ("r", "notes.md", 1), ("r", "x.md", 1), ("o", "notes.md", 1)], "repo string, doc string, weight int")
     assert {(r.repo, r.doc): r.weight for r in documents.pointed(docs, w.filter("part = 'span'").select("repo", "doc", F.col("text").alias("span"))).collect()} == {("r", "AGENTS.md"): 3, ("r", "notes.md"): 2, ("r", "x.md"): 1, ("o", "notes.md"): 1}
     assert [r.text for r in documents.commands(w.filter("part = 'block'")).collect()] == ["pytest tests"]
