@@ -1,12 +1,14 @@
 """Syntax trees of source files, down to functions: classes and functions with exact ranges, parameters, decorators and documentation.
 
-The scanner reads only what shapes the tree (strings, comments, brackets, line starts, declaring words) and jumps over the rest. It is
+Python is read with the interpreter's parser. For the other languages, and for damaged Python, the scanner reads only what shapes the tree (strings, comments, brackets, line starts, declaring words) and jumps over the rest. It is
 tolerant: a damaged file yields the nodes before and, as far as brackets allow, after the damage.
 """
 
 from __future__ import annotations
 
+import ast
 import re
+import warnings
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
@@ -27,6 +29,7 @@ _STR = r"""(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*(?:\"\"\"|$)|'''(?:[^'\\]|\\[\s\
 _INDENTED = re.compile(r"(?P<S>" + _STR + r")|(?P<C>#[^\n]*)|(?P<F>\b(?:def|func|class)\b[ \t]+(?P<N>[^\W\d]\w*))|(?P<O>[(\[{])|(?P<E>[)\]}])")
 _BRACED = re.compile(
     r"""(?P<S>"(?:[^"\\\n]|\\[\s\S])*(?:"|(?=\n)|$)|'(?:[^'\\\n]|\\[\s\S])*(?:'|(?=\n)|$)|`(?:[^`\\]|\\[\s\S])*(?:`|$))|(?P<C>//[^\n]*|/\*[\s\S]*?(?:\*/|$))"""
+    r"|(?P<R>(?:(?<=[=(,:\[!&|?{};>\n])|(?<=\breturn))[ \t]*/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[\w$]*)"
     r"|(?P<K>\bclass\b[ \t]+(?P<KN>[^\W\d][\w$]*))|(?P<F>\bfunction\b[ \t]*\*?[ \t]*(?P<FN>(?:[^\W\d]|\$)[\w$]*))"
     r"|(?P<G>\bfunc\b[ \t]*(?:\([^()\n]*\)[ \t]*)?(?P<GN>[^\W\d]\w*)[ \t]*(?=[(\[]))"
     r"|(?P<V>\b(?:const|let|var)[ \t]+(?P<VN>(?:[^\W\d]|\$)[\w$]*)[^=\n;{}]*=[ \t]*(?:async[ \t]*)?(?=\(|function\b|(?:[^\W\d]|\$)[\w$]*[ \t]*=>|<))"
@@ -37,10 +40,48 @@ _NOT_METHOD = {"if", "for", "while", "switch", "catch", "return", "function", "w
 
 
 def outline(language: str, text: str) -> list[Node]:
-    """The module's nodes in order; functions and classes nest as in the source. ``text`` has ``\\n`` line ends."""
+    """The module's nodes in order; functions and classes nest as in the source. ``text`` has ``\\n`` line ends. Python that parses is read from its
+    syntax tree, everything else by the tolerant scanner."""
+    if language == "python":
+        tree = _python(text)
+        if tree is not None:
+            return tree
     return _indented(text, language) if language in ("python", "gdscript") else _braced(text, language)
 
 
+def _python(text: str) -> list[Node] | None:
+    """The nodes of a Python module from its abstract syntax tree; None if it doesn't parse."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    lines = text.split("\n")
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+
+    def place(line: int, column: int) -> int:
+        """Character place of a line (from 1) and a column in UTF-8 bytes."""
+        row = lines[line - 1]
+        return starts[line - 1] + (column if row.isascii() else len(row.encode()[:column].decode("utf-8", "ignore")))
+
+    def node(n: ast.AST) -> Node:
+        a, z, first = place(n.lineno, n.col_offset), place(n.end_lineno, n.end_col_offset), n.body[0]
+        is_class = isinstance(n, ast.ClassDef)
+        args = "" if is_class else ast.unparse(n.args)
+        return Node("class" if is_class else "function", n.name, a, z, place(first.lineno, first.col_offset), args, None if is_class else ast.get_docstring(n, clean=False), below(n))
+
+    def below(n: ast.AST) -> list[Node]:
+        out = []
+        for c in ast.iter_child_nodes(n):
+            out += [node(c)] if isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else below(c)
+        return out
+
+    return below(tree)
+
+
 def functions(nodes: list[Node], owner: str = "") -> list[tuple[str, Node]]:
     """(enclosing class, function) of all function nodes, outer before inner."""
     out = []
@@ -90,8 +131,23 @@ def _indented(text: str, language: str) -> list[Node]:
         if j < len(tokens) and tokens[j][0] == "O" and not text[b : tokens[j][1]].strip():
             e = _close(text, tokens, j)
             params, body = text[tokens[j][1] + 1 : tokens[e][1]], tokens[e][2]
-        colon = text.find(":", body)
-        eol = text.find("\n", body)
+        # the colon of the signature: the first one outside strings and brackets
+        colon, eol, k2 = -1, -1, bisect_right(tokens, body - 1, key=lambda t: t[1])
+        at_ = body
+        while colon < 0 and eol < 0:
+            nxt = tokens[k2] if k2 < len(tokens) else ("", n, n, None)
+            c, e = text.find(":", at_, nxt[1]), text.find("\n", at_, nxt[1])
+            if c >= 0 and (e < 0 or c < e):
+                colon = c
+            elif e >= 0:
+                eol = e
+            elif k2 >= len(tokens):
+                break
+            else:
+                if nxt[0] == "O":
+                    k2 = _close(text, tokens, k2)
+                at_, k2 = tokens[k2][2], k2 + 1
+        eol = text.find("\n", max(body, colon))
         eol = n if eol < 0 else eol
         body = colon + 1 if 0 <= colon < eol else eol
         width = len(lead) - len(lead.lstrip(" \t"))

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from codestrata.operators.ranking import running_sum
 from codestrata.session import cut
 
-#: A pair counts as surprising at all if its joint count or a larger one has at most this chance under the null model. The level is wide: it
+#: A pair counts as surprising at all if its joint count or a larger one has at most this chance under the null model: less likely than not. The level is wide, it
 #: only keeps out what the model explains; ``significant`` is the strict one.
-UNLIKELY = 0.25
+UNLIKELY = 0.5
 KINDS = 500_000  # kinds of pairs (frequency, frequency, joint count) sent to every executor at most
 
 

@@ -3,7 +3,7 @@
 A linear support-vector classifier reads hashed character 4-grams of the body, of the opening comment and path components. It is trained here
 on weak labels: files that betray their origin (``evidence``). So that it doesn't merely learn the giveaways, every labelled file is also
 shown with its opening comment masked (unless nothing else could tell), and the threshold is set on repositories that were held out.
-Files the classifier finds suspicious are then checked for evidence; without evidence only a confident verdict on the body counts.
+Where the classifier is sure it decides; where it is in doubt, evidence does.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ ATTRIBUTION = re.compile(
     r"|(?:taken|copied|vendored|imported|borrowed|adapted) from (?:the )?(?P<b>[\w.\-/]+)|part of (?:the )?(?P<c>[\w.\-/]+)|^(?P<d>[\w.\-]+) v\d+\.\d+[\w.]*\s*\||(?:under|of) the (?P<e>[\w.\-]+) licen[cs]e)",
     re.I,
 )
+_COPYRIGHT = re.compile(r"(?i)(?:\(c\)|copyright)\b")
 _SIGNS = re.compile(r"^(?:/\*+!?|\*+/?|//+!?|#+!?|<!--|\"\"\"|'''|;+|--+)\s*|\s*(?:\*/|-->)\s*$")
 _NUMBERS = re.compile(r"^[\s\[\](){},]*(?:(?:0x[\da-f]+|-?\d+(?:\.\d+)?(?:e[+-]?\d+)?|\"[^\"\s]{24,}\"|'[^'\s]{24,}')[\s,;)\]}]*)+$", re.I)
 _RECORD = re.compile(r"^[\s\[\](){},]*(?:\"[^\"\n]*\"|'[^'\n]*'|\w+)\s*:\s*[\[{](?:[^A-Za-z]|\"[^\"]*\"|'[^']*'|\b\w{1,12}\b\s*:)*[\]}][\s,;]*$")
@@ -51,10 +52,10 @@ _SHAPE_STRING, _SHAPE_NUMBER, _SHAPE_WORD = re.compile(r"\"[^\"]*\"|'[^']*'"), r
 _TABLE = bytes(ord("9") if 48 <= b < 58 else b for b in range(256))
 
 
-def opening(text: str, lines: int = 12) -> list[str]:
-    """The comment lines a text opens with, without comment signs; code ends them (a package clause or blank lines may precede)."""
+def opening(text: str) -> list[str]:
+    """All comment lines a text opens with, without comment signs; code ends them (a package clause or blank lines may precede)."""
     out, inside = [], ""
-    for raw in text.split("\n")[: lines * 3]:
+    for raw in text.split("\n"):
         s = raw.strip()
         if not s:
             continue
@@ -67,15 +68,20 @@ def opening(text: str, lines: int = 12) -> list[str]:
             inside = "" if "*/" in s else "*/"
         elif s.startswith(("//", "#", "--", "<!--", ";")):
             out.append(_SIGNS.sub("", s))
-        elif s[:3] in ('"""', "'''") and not out:
-            break
         else:
             break
-        if len(out) >= lines:
-            break
     return out
 
 
+_DOCSTRING = re.compile(r"(?:\s*#[^\n]*\n|\s)*[rRuU]?(\"\"\"|''')([\s\S]*?)(?:\1|$)")
+
+
+def module_docstring(path: str, text: str) -> list[str]:
+    """The lines of the docstring that opens a Python module."""
+    m = _DOCSTRING.match(text) if path.endswith(".py") else None
+    return [x.strip() for x in m[2].split("\n") if x.strip()] if m else []
+
+
 def is_other_project(name: str, repo: str | None) -> bool:
     """Whether an attributed name is neither a repository of the collection (owner/name) nor a part of this file's own."""
     n = name.strip(".-/").lower()
@@ -113,13 +119,12 @@ def evidence(path: str, text: str, repo: str | None) -> str:
     parts = [p.lower() for p in (path or "").split("/")]
     if PLACES & set(parts[:-1]):
         return "vendored"
-    head = opening(text)
-    joined = " ".join(head[:3])
-    if not NOT_NOTICE.search(joined):
-        for line in head:
-            if NOTICE.match(line):
-                return "generated"
-    for line in head[:8]:
+    head, told = opening(text), module_docstring(path or "", text)
+    for lines in (head, told):
+        # a line that says the file is hand-written speaks for the notices around it
+        if not any(NOT_NOTICE.search(" ".join(lines[k : k + 3])) for k in range(len(lines))) and any(NOTICE.match(x) for x in lines):
+            return "generated"
+    for line in [*head, *[x for x in told if _COPYRIGHT.match(x)]]:
         for m in ATTRIBUTION.finditer(line):
             if is_other_project(next(g for g in m.groups() if g is not None), repo):
                 return "vendored"
@@ -224,17 +229,20 @@ def _learn(pdf: pd.DataFrame) -> pd.DataFrame:
     test = ~use if not use.all() else use
     s = np.array([(w[i] * v).sum() + w[-1] * 0.3 for i, v in rows])
     pos = np.sort(s[test & shown & (y > 0)])
+    neg = s[test & shown & (y < 0)]
     threshold = float(min(0.0, pos[0] - 0.5)) if len(pos) else 0.0
+    sure = float(max(0.0, neg.max() + 0.25)) if len(neg) else 0.0
     right = (s > 0) == (y > 0)
-    report = {"trained": True, "rows": len(y), "held_out_accuracy": float(right[test & shown].mean()), "held_out_masked": float(right[test & ~shown].mean()), "threshold": threshold}
+    report = {"trained": True, "rows": len(y), "held_out_accuracy": float(right[test & shown].mean()), "held_out_masked": float(right[test & ~shown].mean()), "threshold": threshold, "sure": sure}
     return pd.DataFrame([(w.tobytes(), threshold, json.dumps(report))], columns=["weights", "threshold", "report"])
 
 
 def fit(files: DataFrame, sample: int = 3_000) -> tuple[np.ndarray, float, dict]:
     """(weights, threshold, report) from at most about ``sample`` files, chosen by a hash of their ids (a documented bound for the fit).
 
-    A fifth of the repositories is held out; the threshold lies half a margin below the lowest of their betrayed files (at most 0), so the exact
-    check behind it decides. With too few betrayed files to learn from, everything is a candidate. The sample is learnt in one task of an
+    A fifth of the repositories is held out and sets two marks. From ``sure`` on (the classifier's own boundary 0, or a quarter of a margin above the
+    highest held-out file that nothing betrays) the classifier decides alone. Below ``threshold``, half a margin under the lowest held-out file that is
+    betrayed, nothing is found. Between them evidence is asked for. With too few betrayed files to learn from, everything is a candidate. The sample is learnt in one task of an
     executor; only the weights (a fixed number) come to the driver.
     """
     import json
@@ -264,14 +272,15 @@ def fit(files: DataFrame, sample: int = 3_000) -> tuple[np.ndarray, float, dict]
     return np.frombuffer(bytes(row["weights"]), np.float32), row["threshold"], json.loads(row["report"])
 
 
-def origins(files: DataFrame, sample: int = 3_000, sure: float = 1.0) -> DataFrame:
+def origins(files: DataFrame, sample: int = 3_000) -> DataFrame:
     """(file_id, repo, path, score, kind, found): one row per file (file_id, repo, path, text).
 
-    ``found``: a candidate of the classifier with evidence, or a body that scores ``sure`` or more without its opening comment and path. Null
+    ``found``: the classifier is sure, or it is in doubt and there is evidence (see ``fit``). ``kind``: the evidence, ``learned`` without any. Null
     and empty texts have no body: only their place can speak. Exact duplicate rows give one row.
     """
     src = spread(files.select("file_id", "repo", "path", "text"))
-    w, threshold, _ = fit(src, sample)
+    w, threshold, report = fit(src, sample)
+    sure = report.get("sure", 0.0)
     held = files.sparkSession.sparkContext.broadcast(w.astype("float32"))
     trained = bool(w.any())
 
@@ -285,11 +294,10 @@ def origins(files: DataFrame, sample: int = 3_000, sure: float = 1.0) -> DataFra
                 part = weights[idx] * val
                 bias = float(weights[-1]) * 0.3
                 score = float(part.sum()) + bias
-                body = float(part[idx < DIM].sum()) + bias
                 kind = ""
                 if score > threshold or not trained:
                     kind = evidence(path or "", u, repo)
-                if not kind and trained and body >= sure:
+                if not kind and trained and score >= sure:
                     kind = "learned"
                 out.append((i, repo, path, score, kind, kind != ""))
             yield pd.DataFrame(out, columns=["file_id", "repo", "path", "score", "kind", "found"])
