@@ -1,7 +1,7 @@
 """Grammars for the derivative parser: Python 3, GDScript 4, ECMAScript modules, TypeScript, Go.
 
-They follow the published grammars with two liberties: operators are read flat (precedence does not decide validity) and assignment targets
-are read as expressions. Terminals in capitals come from the lexers; NL is a line end that may stand for a semicolon.
+They follow the published grammars with one liberty: operators are read flat (precedence does not decide validity). Only names, members, subscripts and
+patterns can be assigned to, and constants need a value. Terminals in capitals come from the lexers; NL is a line end that may stand for a semicolon.
 """
 
 PYTHON = """
@@ -16,7 +16,10 @@ import = 'import' dotted ['as' id] (',' dotted ['as' id])*
        | 'from' (('.' | '...')* dotted | ('.' | '...')+) 'import' ('*' | imported (',' imported)* | '(' imported (',' imported)* [','] ')') ;
 imported = id ['as' id] ;
 dotted = id ('.' id)* ;
-assignment = value ( ':' expr ['=' value] | AUGMENTED value | ('=' value)* ) ;
+assignment = value | (targets '=')+ value | single AUGMENTED value | single ':' expr ['=' value] ;
+single = id | postfix ('[' subscript (',' subscript)* [','] ']' | '.' id) | '(' single ')' ;
+targets = starred (',' starred)* [','] ;
+starred = ['*'] (single | '(' [targets] ')' | '[' [targets] ']') ;
 value = yield | stars ;
 yield = 'yield' ['from' expr | stars] ;
 stars = star (',' star)* [','] ;
@@ -85,7 +88,8 @@ param = '...' id [typed] | id [typed] ['=' expr] ;
 suite = simple (';' simple)* [';'] NEWLINE | NEWLINE INDENT (NEWLINE | ';' | stmt)+ DEDENT | compound ;
 lambda_suite = simple (';' simple)* [NEWLINE] | NEWLINE INDENT (NEWLINE | ';' | stmt)+ DEDENT [NEWLINE] ;
 stmt = annotation+ (NEWLINE | stmt) | variable | constant | simple end | compound ;
-simple = 'pass' | 'break' | 'continue' | 'breakpoint' | 'return' [expr] | 'assert' '(' args ')' | 'var' id [typed] ['=' expr] | 'const' id [typed] '=' expr | expr [('=' | AUGMENTED) expr] ;
+simple = 'pass' | 'break' | 'continue' | 'breakpoint' | 'return' [expr] | 'assert' '(' args ')' | 'var' id [typed] ['=' expr] | 'const' id [typed] '=' expr | expr | place ('=' | AUGMENTED) expr ;
+place = id | postfix ('[' expr ']' | '.' WORD) | '(' place ')' ;
 compound = 'if' expr ':' suite ('elif' expr ':' suite)* ['else' ':' suite] | 'for' id [':' type] 'in' expr ':' suite | 'while' expr ':' suite
          | 'match' expr ':' NEWLINE INDENT (NEWLINE | branch)+ DEDENT ;
 branch = annotation* pattern (',' pattern)* ['when' expr] ':' suite ;
@@ -116,18 +120,21 @@ named = '{' [spec (',' spec)* [',']] '}' ;
 spec = <TS['type']TS> (WORD | STRING) ['as' (WORD | STRING)] ;
 export = decorator* 'export' ( 'default' (function | class | assign term <TS| 'abstract' class | interfaceTS>) | declaration | <TS['type']TS> named ['from' STRING [attributes]] term
        | '*' ['as' (WORD | STRING)] 'from' STRING [attributes] term <TS| '=' expr termTS>) ;
-declaration = variables term | function | class <TS| alias term | interface | enum | 'declare' declaration | 'abstract' class | 'declare' ambientTS> ;
+declaration = variables term | function | class <TS| alias term | interface | enum | 'declare' declaration | 'declare' 'const' variable (',' variable)* term | 'abstract' class | 'declare' ambientTS> ;
 stmt = ';' | block | declaration | 'if' '(' expr ')' stmt ['else' stmt] | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' [term] | for
      | ('break' | 'continue') [id] term | 'return' [expr] term | 'throw' expr term | 'debugger' term | 'try' block (catch ['finally' block] | 'finally' block)
      | 'switch' '(' expr ')' '{' (('case' expr | 'default') ':' stmt*)* '}' | id ':' stmt | expr term | decorator+ class <TS| ambientTS> ;
 catch = 'catch' ['(' binding ')'] block ;
 block = '{' stmt* [NL] '}' ;
-variables = ('var' | 'let' | 'const') variable (',' variable)* ;
+variables = ('var' | 'let') variable (',' variable)* | 'const' initialised (',' initialised)* ;
+initialised = binding '=' assign ;
 variable = binding ['=' assign] ;
 binding = (id | array | object) <TS['!'] [':' type]TS> ;
 for = 'for' ['await'] '(' ([variables | expr] ';' [expr] ';' [expr] | (('var' | 'let' | 'const') binding | postfix) ('of' | 'in') expr) ')' stmt ;
 expr = assign (',' assign)* ;
-assign = unary (binary unary | '?' assign ':' assign | ASSIGN assign | '=' assign <TS| ('as' | 'satisfies') typeTS>)* | arrow | 'yield' ['*'] [assign] ;
+assign = place ('=' | ASSIGN) assign | chain | arrow | 'yield' ['*'] [assign] ;
+chain = unary (binary unary | '?' assign ':' assign <TS| ('as' | 'satisfies') typeTS>)* ;
+place = id | postfix ('.' (WORD | PRIVATE) | '[' expr ']' <TS| '!'TS>) | array | object | '(' place ')' <TS| '(' expr ')'TS> ;
 arrow = ['async'] (id | <TS[tparams]TS> '(' [params] ')' <TS[':' type]TS>) '=>' (block | assign) ;
 binary = 'in' | 'instanceof' | '*' | '-' | '+' | '<' | '>' ['>' ['>']] ['>='] | '>=' | '&' | '|' | BINARY ;
 unary = ('!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | 'new')* postfix ['++' | '--'] ;
@@ -158,7 +165,7 @@ targs = '<' type (',' type)* '>' ;
 alias = 'type' id [tparams] '=' type ;
 interface = 'interface' id [tparams] ['extends' type (',' type)*] type_body ;
 enum = ['const'] 'enum' id '{' [key ['=' assign] (',' key ['=' assign])* [',']] [NL] '}' ;
-ambient = ('namespace' | 'module' | 'global') [STRING | id ('.' id)*] '{' item* [NL] '}' ;
+ambient = ('namespace' | 'module' | 'global') [STRING | id ('.' id)*] '{' (item | ['export'] 'const' variable (',' variable)* term)* [NL] '}' ;
 type = ['|' | '&'] joined (('|' | '&') joined)* ['extends' type '?' type ':' type] | ['abstract'] ['new'] [tparams] '(' [params] ')' '=>' type | ['asserts'] (id | 'this') ['is' type] ;
 joined = ('keyof' | 'typeof' | 'readonly' | 'unique' | 'infer')* primitive ('[' [type] ']')* ;
 primitive = (id | 'void' | 'null' | 'this' | 'typeof' | 'import' '(' STRING ')') ('.' WORD)* [targs] | STRING | TEMPLATE | 'true' | 'false' | ['-'] NUMBER | '(' type ')' | type_body
@@ -206,7 +213,9 @@ element = id signature | constraint ;
 block = '{' stmts '}' ;
 stmts = [stmt] (';' [stmt])* ;
 stmt = declaration | simple | 'return' [exprs] | ('go' | 'defer') expr | ('break' | 'continue' | 'goto') [id] | 'fallthrough' | block | if | switch | for | select | id ':' [stmt] ;
-simple = exprs ['=' exprs | ':=' exprs | AUGMENTED exprs | '++' | '--' | '<-' expr] ;
+simple = exprs ['<-' expr] | places '=' exprs | place (AUGMENTED expr | '++' | '--') | ids ':=' exprs ;
+places = place (',' place)* ;
+place = id | '*' unary | operands ('.' id | '[' index ']') | '(' place ')' ;
 if = 'if' [[simple] ';'] expr block ['else' (if | block)] ;
 switch = 'switch' [[simple] ';'] [simple] '{' (('case' typesorexprs | 'default') ':' stmts)* '}' ;
 typesorexprs = (expr | type) (',' (expr | type))* ;
@@ -214,7 +223,8 @@ for = 'for' [expr | [simple] ';' [expr] ';' [simple] | [exprs ('=' | ':=')] 'ran
 select = 'select' '{' (('case' simple | 'default') ':' stmts)* '}' ;
 exprs = expr (',' expr)* ;
 expr = unary (('*' | '-' | '+' | '&' | '^' | '|' | '<-' | BINARY) unary)* ;
-unary = ('-' | '+' | '!' | '^' | '*' | '&' | '<-')* operand ('.' (id | '(' (type | 'type') ')') | '[' index ']' | '(' [args] ')' | literal)* ;
+unary = ('-' | '+' | '!' | '^' | '*' | '&' | '<-')* operands ;
+operands = operand ('.' (id | '(' (type | 'type') ')') | '[' index ']' | '(' [args] ')' | literal)* ;
 operand = id | NUMBER | STRING | '(' (expr | type) ')' | 'func' signature [block] | literal_type | 'chan' type | 'interface' '{' [element (';' element)* [';']] '}' ;
 index = (expr | type) (',' (expr | type))* [','] | [expr] ':' [expr] [':' expr] ;
 args = argument (',' argument)* ['...'] [','] ;

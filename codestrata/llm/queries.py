@@ -32,6 +32,14 @@ def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
     return p2_pairs.surprise(table(spark, d, "commit_files"), "repo", "sha", "path", least=1).withColumnsRenamed({"g": "repo", "a": "path_a", "b": "path_b"})
 
 
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every observed pair with its exact counts and lift."""
+    b = p2_pairs.baskets(table(spark, d, "commit_files"), "repo", "sha", "path", 2, 30)
+    n = b.select("g", "c").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    lift = F.round(F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b")), 6)
+    return p2_pairs.pair_counts(b, 1)[0].join(F.broadcast(n), "g").select(F.col("g").alias("repo"), F.col("a").alias("path_a"), F.col("b").alias("path_b"), "n", "n_a", "n_b", "n_ab", lift.alias("lift"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs whose joint count the null model makes unlikely (see ``p2_pairs.UNLIKELY``), then the exact check of the definition. Pairs below 6 common
     commits can't be cases, so their tails aren't asked for."""
@@ -49,12 +57,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_terms_of_records(spark: SparkSession, d: str) -> DataFrame:
+    return _weights(spark, d).withColumn("weight", F.round("weight", 6))
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
     return p4_terms.term_weights(p4_terms.units_of(table(spark, d, "symbols"), table(spark, d, "file_facts"), table(spark, d, "commits")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms whose weight reaches what five records leave to any term, then the exact check of the definition."""
-    w = p4_terms_of_records(spark, d).filter(F.col("weight") >= p4_terms.least_weight(5))
+    w = _weights(spark, d).filter(F.col("weight") >= p4_terms.least_weight(5))
     exact = F.col("df").between(2, 5) & ((F.col("record_kind") == "commit") | (F.col("tf") >= 3))
     return w.filter(exact).select("record_kind", "record_key", "term")
 
@@ -81,14 +93,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_files(spark, d).filter(~F.col("valid")).select("file_id").distinct()
 
 
-def p7_order(spark: SparkSession, d: str) -> DataFrame:
+def _order(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "metrics")
     return p7_ranking.leximin(p7_ranking.latest(m, "file_id", "scanned_at", ["repo", *MEASURES]), "file_id", "repo", MEASURES)
 
 
+def p7_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with its ascending vector and its place in the repository."""
+    return _order(spark, d).select("file_id", "repo", *[F.round(F.col("percentiles")[i], 6).alias(f"p{i + 1}") for i in range(len(MEASURES))], "place")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Files whose leximin vector, but for its weakest score, lies within the repository's top tenth."""
-    return p7_ranking.tops(p7_order(spark, d)).select("file_id")
+    return p7_ranking.tops(_order(spark, d)).select("file_id")
 
 
 def p8_leaks_in_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -264,6 +264,27 @@ def test_invalid_texts(lang, text):
     assert not p6_syntax.examine(lang, text)[0]
 
 
+@pytest.mark.parametrize(
+    ("lang", "good", "bad"),
+    [
+        ("python", ["a, *b = c\n", "[a, (b, c)] = d = e\n", "f(x).y += 1\n", "a.b: int = 3\n"], ["f() = 1\n", "a + b = c\n", "1 = x\n", "f() += 1\n"]),
+        ("javascript", ["[a, b] = [b, a];\n", "({a, b} = c);\n", "a ? b : c = d;\n", "for (const x of y) {}\n", "x ??= 1;\n"], ["const a;\n", "a + b = c;\n", "f() = 2;\n"]),
+        ("typescript", ["declare const q: string;\n", "(x as any) = 3;\n", "declare namespace N { const a: number; }\n"], ["1 = x;\n", "const z: number;\n"]),
+        ("go", ["package a\nfunc f() {\n\t*p = 3\n\tf(x).y, a[1] = 1, 2\n}\n"], ["package a\nfunc f() {\n\t1 = x\n}\n", "package a\nfunc f() {\n\tf() = 1\n}\n"]),
+        ("gdscript", ["func f():\n\tself.a.b += 3\n\t$N.x = 1\n"], ["func f():\n\tf() = 2\n", "func f():\n\ta + b = c\n"]),
+    ],
+)
+def test_what_can_be_assigned_to(lang, good, bad):
+    assert all(p6_syntax.examine(lang, x)[0] for x in good) and not any(p6_syntax.examine(lang, x)[0] for x in bad)
+
+
+def test_trees_of_annotations_and_regular_expressions():
+    f = p5_functions.outline("python", 'def f(a) -> Literal["x:y"]:\n    """Says a."""\n')[0]
+    broken = p5_functions.outline("python", 'def f(a) -> Literal["x:y"]:\n    """Says a."""\n    x = (\n')[0]
+    js = p5_functions.outline("javascript", "function f() {\n  const re = /[{]/;\n  return re;\n}\nfunction g() {}\n")
+    assert f.doc == broken.doc == "Says a." and [(n.name, n.start, n.end) for n in js] == [("f", 0, 49), ("g", 50, 65)]
+
+
 def test_python_agrees_with_the_interpreter_on_mutations():
     rng = random.Random(7)
     source = open(p6_syntax.__file__, encoding="utf-8").read()
@@ -305,7 +326,7 @@ def test_leximin(spark):
     f = spark.createDataFrame(m, "file_id long, repo string, a double, b int, c int, d int, percentiles string")
     order = p7_ranking.leximin(f, "file_id", "repo", ["a", "b", "c", "d"])
     got = {r.file_id: r for r in order.collect()}
-    assert got[20].place == 1 and got[19].place == 2 and got[30].weakest == 0 and got[30].place > got[2].place and got[40].place == 1
+    assert got[20].place == 1 and got[19].place == 2 and got[30].weakest < 0.1 and got[31].weakest == 0 and got[30].place > got[2].place and got[40].place == 1
     assert {r.file_id for r in p7_ranking.tops(order).collect()} == {18, 19, 20, 40} and len(got) == 23
     # the vectors decide: with the weakest score of all the top ones are others
     assert {r.file_id for r in p7_ranking.tops(order, but=0).collect()} == {19, 20, 40} and {r.file_id for r in p7_ranking.tops(order, but=3).collect()} == {18, 19, 20, 30, 40}
