@@ -257,8 +257,10 @@ def _gate() -> tuple:
     return auto, free
 
 
-#: Without any of these a passage holds nothing that ``_SUSPECT`` could match.
+#: Without any of these a passage holds nothing that ``_SUSPECT`` could match; plain ranges for passages of ASCII only.
 _HINT = re.compile(r"[^\W\d_][\d@$!|+€£¡*#•●×]|[\d@$!|+€£¡*#•●×][^\W\d_]|([^\W\d_])\1\1|(?<!\w)[^\W_][ .\-_·,]{1,2}[^\W_][ .\-_·,]|[Ͱ-ӿԀ-ԯ]")
+_ASCII_HINT = re.compile(r"[a-zA-Z](?:[0-9@$!|+*#]|(?<=([a-zA-Z]))\1\1)|[0-9@$!|+*#][a-zA-Z]|(?<![a-zA-Z0-9_])[a-zA-Z0-9][ .\-_,]{1,2}[a-zA-Z0-9][ .\-_,]")
+_ODD_SPACE = re.compile(r"[\t\n\x0b\x0c\r\x1c-\x1f]|  ")
 
 
 def lexicon_words() -> dict[str, float]:
@@ -278,6 +280,7 @@ class Scorer:
         self.lexicon = lexicon_words()
         self.model = CharModel(self.lexicon, corpus)
         self.learned = learned or {}
+        self.learned_words = None  # an automaton of them, built where it is first needed
         self.known: dict[tuple[str, bool, bool], str | None] = {}
         self.seen: dict[str, tuple[float, str, str]] = {}
 
@@ -305,9 +308,14 @@ class Scorer:
         return self.known[key]
 
     def restore(self, passage: str) -> str:
-        p = passage if passage.isascii() else passage.translate(INVISIBLE)
-        if not _HINT.search(p):
-            return re.sub(r"\s+", " ", p).lower()
+        if passage.isascii():
+            p = passage
+            if not _ASCII_HINT.search(p):
+                return (re.sub(r"\s+", " ", p) if _ODD_SPACE.search(p) else p).lower()
+        else:
+            p = passage.translate(INVISIBLE)
+            if not _HINT.search(p):
+                return re.sub(r"\s+", " ", p).lower()
         closed = {m.end() for m in _EMPHASIS.finditer(p)}
 
         def swap(m: re.Match) -> str:
@@ -327,7 +335,7 @@ class Scorer:
             if pattern.search(text):
                 best[kind] = max(best.get(kind, 0.0), weight)
                 miss *= 1 - weight
-        if self.learned:
+        if self.learned and self._may_be_learned(text):
             hits = sorted((self.learned[w] for w in set(_TOKEN.findall(text)) if w in self.learned), reverse=True)
             if len(hits) >= 2:
                 miss *= 1 - min(0.6, hits[0] * hits[1] * 0.6)
@@ -337,6 +345,17 @@ class Scorer:
             score *= 0.5
         return score, max(best, key=best.get) if best else "", text
 
+    def _may_be_learned(self, text: str) -> bool:
+        """Whether a learnt word stands anywhere in the text, as a word or in one."""
+        if self.learned_words is None:
+            import ahocorasick
+
+            self.learned_words = ahocorasick.Automaton()
+            for w in self.learned:
+                self.learned_words.add_word(w, 1)
+            self.learned_words.make_automaton()
+        return next(self.learned_words.iter(text), None) is not None
+
     def text(self, text: str | None) -> tuple[float, str, str, str]:
         """(score, kind, passage, restored) of the worst passage; every passage is looked at."""
         top = (0.0, "", "", "")
