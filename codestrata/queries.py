@@ -833,13 +833,6 @@ def scan_invariants(s, d):
     return _scan(s, d).invariants
 
 
-@query()
-def impact_backtest(s, d):
-    from codestrata.plans import impact
-
-    return impact.backtest(_scan(s, d))
-
-
 @query()
 def blast_impacted(s, d):
     r = _scan(s, d).blast("replace the save format of the market inventory")

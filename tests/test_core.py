@@ -255,7 +255,7 @@ return [total, best, {"n": limit.n}] if total >= 4 else clamp(best, 0, limit.hig
 
 def test_clones_renamed_in_one_file_and_across(spark):
     renamed = BODY.replace("best", "top").replace("item", "row").replace("2", "9")
-    f = [("r", 1, "a.gd", "extends A\n" + BODY), ("r", 2, "b.gd", "extends B\n\n# note\n" + renamed + "done()\n"), ("r", 3, "c.gd", "x"), ("r", 4, "d.gd", None), ("o", 5, "e.gd", BODY), ("p", 6, "f.gd", BODY + "\nother()\n" + renamed)]
+    f = [("r", 1, "a.gd", "pass\n" + BODY), ("r", 2, "b.gd", "extends B\n\n# note\n" + renamed + "done()\n"), ("r", 3, "c.gd", "x"), ("r", 4, "d.gd", None), ("o", 5, "e.gd", BODY), ("p", 6, "f.gd", BODY + "\nother()\n" + renamed)]
     f += [("q", 7, "g.gd", "[" + "1, 'a', " * 200 + "]"), ("q", 8, "h.gd", "[" + "2, 'b', " * 200 + "]")]
     df = spark.createDataFrame(f, "repo string, file_id int, path string, text string")
     runs = clones.clone_runs(clones.token_arrays(df))
