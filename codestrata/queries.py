@@ -828,11 +828,6 @@ def scan_score(s, d):
     return _scan(s, d).score()
 
 
-@query()
-def scan_invariants(s, d):
-    return _scan(s, d).invariants
-
-
 @query()
 def blast_impacted(s, d):
     r = _scan(s, d).blast("replace the save format of the market inventory")
