@@ -227,6 +227,31 @@ def test_command_line(checkout, tmp_path, capsys):
     assert main(["check", str(checkout)]) == 0
 
 
+def test_facts_are_handed_on_piece_by_piece(spark, monkeypatch):
+    import pyarrow as pa
+
+    from codestrata.sources import parsers
+
+    class Caught:
+        def mapInArrow(self, run, schema):
+            return lambda b: list(run(iter([b])))
+
+        def mapInPandas(self, run, schema):
+            return lambda b: list(run(iter([b.to_pandas()])))
+
+    files = spark.createDataFrame([], "repo string, path string, text string, lang string")
+    with monkeypatch.context() as m:
+        m.setattr(parsers, "spread", lambda df: Caught())
+        run = parsers.facts(files)
+    text = "x = f(1, 'a')\n" * 2000
+    rows = [{"repo": "r", "path": f"a{k}.py", "text": f"# {k}\n{text}", "lang": "python", "names": []} for k in range(100)]
+    pieces = run(pa.RecordBatch.from_pylist(rows))
+    assert sum(map(len, pieces)) == 100 and max(map(len, pieces)) * len(text) < 1_000_000
+    got = parsers.facts(spark.createDataFrame([("r", "a.py", "x = f(1, 'a')", "python"), ("r", "b.gd", "@tool\nfunc f(): pass", "gdscript"), ("q", "a.py", "x = f(1, 'a')", "python")], "repo string, path string, text string, lang string"))
+    got = {(r.repo, r.path): r for r in got.collect()}
+    assert got["r", "b.gd"].annotations == {"tool": 1} and got["q", "a.py"].calls == got["r", "a.py"].calls and got["q", "a.py"].calls[0].args[1].s == "a"
+
+
 def test_json_keys(spark):
     deep = '{"k": ' * 90 + "1" + "}" * 90
     t = spark.createDataFrame([("r", "a", '{"x": {"y": [{"z": 1}]}}'), ("r", "b", "no json"), ("r", "c", None), ("r", "d", deep.replace('"k": 1', '"last": 1'))], "repo string, path string, text string")
