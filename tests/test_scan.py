@@ -258,6 +258,12 @@ def test_json_keys(spark):
     assert sorted({r.key for r in snapshot.json_keys(t).collect()}) == ["k", "last", "x", "y", "z"]
 
 
+def test_json_keys_of_any_size_and_depth(spark):
+    long, deep = '{"long": [' + "1, " * 200_000 + '{"late": "' + "x" * 1000 + '"}]}', '{"k": [' * 30_000 + '{"deepest": -1.5e3}' + "]}" * 30_000
+    t = spark.createDataFrame([("r", "a", long), ("r", "b", deep), ("r", "c", deep[:-1]), ("r", "d", '{"n": ' + "9" * 5000 + "}")], "repo string, path string, text string")
+    assert sorted((r.path, r.key) for r in snapshot.json_keys(t).collect()) == [("a", "late"), ("a", "long"), ("b", "deepest"), ("b", "k"), ("d", "n")]
+
+
 def test_stream_counts_match_batch(spark, tmp_path):
     rows = [("r", f"s{k % 7}", f"p{k % 5}", k) for k in range(35)]
     df = spark.createDataFrame(rows, "repo string, sha string, path string, k int")
