@@ -252,6 +252,29 @@ def test_facts_are_handed_on_piece_by_piece(spark, monkeypatch):
     assert got["r", "b.gd"].annotations == {"tool": 1} and got["q", "a.py"].calls == got["r", "a.py"].calls and got["q", "a.py"].calls[0].args[1].s == "a"
 
 
+def test_fingerprints_are_handed_on_piece_by_piece(spark):
+    import pyarrow as pa
+
+    from codestrata.operators import clones
+
+    class Arrays:
+        dtypes = [("repo", "string"), ("path", "string"), ("toks", "array<string>")]
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return lambda b: list(run(iter([b])))
+
+        def mapInPandas(self, run, schema):
+            return lambda b: list(run(iter([b.to_pandas()])))
+
+    toks = [[f"t{k * j % 997}" for j in range(2000)] for k in range(1, 121)]
+    run = clones.fingerprints(Arrays(), "path")
+    pieces = run(pa.RecordBatch.from_pylist([{"repo": "r", "path": f"p{k}", "toks": t} for k, t in enumerate(toks)]))
+    assert sum(map(len, pieces)) == sum(len(clones.winnow(t, 25, 10)) for t in toks) and max(map(len, pieces)) < 22_000 < sum(map(len, pieces))
+
+
 def test_json_keys(spark):
     deep = '{"k": ' * 90 + "1" + "}" * 90
     t = spark.createDataFrame([("r", "a", '{"x": {"y": [{"z": 1}]}}'), ("r", "b", "no json"), ("r", "c", None), ("r", "d", deep.replace('"k": 1', '"last": 1'))], "repo string, path string, text string")
