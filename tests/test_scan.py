@@ -287,6 +287,12 @@ def test_json_keys_of_any_size_and_depth(spark):
     assert sorted((r.path, r.key) for r in snapshot.json_keys(t).collect()) == [("a", "late"), ("a", "long"), ("b", "deepest"), ("b", "k"), ("d", "n")]
 
 
+def test_keys_of_a_large_json_file_count_as_written(spark):
+    code = "def f(d):\n    a = d['late']\n    return a + d['lost']\n"
+    s = Scan(spark, spark.createDataFrame([("a.py", code), ("b.json", "[" + "1, " * 200_000 + '{"late": 1}]')], "path string, text string"))
+    assert {r.key for r in s.dangling.collect()} == {"lost"}
+
+
 def test_stream_counts_match_batch(spark, tmp_path):
     rows = [("r", f"s{k % 7}", f"p{k % 5}", k) for k in range(35)]
     df = spark.createDataFrame(rows, "repo string, sha string, path string, k int")
