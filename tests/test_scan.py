@@ -275,6 +275,22 @@ def test_fingerprints_are_handed_on_piece_by_piece(spark):
     assert sum(map(len, pieces)) == sum(len(clones.winnow(t, 25, 10)) for t in toks) and max(map(len, pieces)) < 22_000 < sum(map(len, pieces))
 
 
+def test_texts_of_clones_are_packed(spark):
+    from codestrata.operators import clones
+
+    # more kinds of tokens than a byte counts, and a gap in the lines that a byte can't hold
+    toks, lines = [f"t{j}" for j in range(5000)], [1] * 2500 + [70_001] * 2500
+    df = spark.createDataFrame([("r", "a", toks, lines), ("r", "b", toks[1:], lines[1:]), ("r", "c", [], []), ("r", "d", ["I", "(", ")"] * 2000, list(range(1, 6001)))], "repo string, path string, toks array<string>, lines array<int>")
+    p = {r.path: r for r in clones.packed(df, "path").collect()}
+    back = lambda r: [r.words[x] for x in clones._numbers(r.codes, r.n)]
+    assert back(p["a"]) == toks and back(p["b"]) == toks[1:] and back(p["c"]) == [] and back(p["d"]) == ["I", "(", ")"] * 2000
+    assert clones._numbers(p["a"].steps, p["a"].n).cumsum().tolist() == lines and len(p["d"].codes) + len(p["d"].steps) == 2 * 6000
+    # the rows in which two texts meet hold no array with an element for each token
+    runs = clones.clone_runs(df, "path")
+    wide = [f for f in runs._jdf.queryExecution().analyzed().children().head().output().mkString(",").split(",") if "toks" in f or "lines" in f]
+    assert wide == [] and [(r.a, r.b, r.a_start, r.b_start, r.tokens, r.a_line, r.b_end_line) for r in clones.outermost(runs).collect() if r.a != r.b] == [("a", "b", 2, 1, 4999, 1, 70_001)]
+
+
 def test_json_keys(spark):
     deep = '{"k": ' * 90 + "1" + "}" * 90
     t = spark.createDataFrame([("r", "a", '{"x": {"y": [{"z": 1}]}}'), ("r", "b", "no json"), ("r", "c", None), ("r", "d", deep.replace('"k": 1', '"last": 1'))], "repo string, path string, text string")
