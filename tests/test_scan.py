@@ -275,6 +275,25 @@ def test_fingerprints_are_handed_on_piece_by_piece(spark):
     assert sum(map(len, pieces)) == sum(len(clones.winnow(t, 25, 10)) for t in toks) and max(map(len, pieces)) < 22_000 < sum(map(len, pieces))
 
 
+def test_texts_without_room_for_a_run_do_not_meet(spark):
+    from codestrata.operators import clones
+
+    def text(name, start, n):  # n tokens of a common stretch, from its start or its end, between tokens of the text's own
+        common = [f"c{i}" for i in range(90)][start : start + n]
+        return [f"{name}{i}" for i in range(40)] + common + [f"{name}{i}" for i in range(40, 80)]
+
+    toks = {"all": text("u", 0, 90), "half": text("v", 0, 60), "head": text("w", 0, 75), "tail": text("x", 15, 75), "bare": [f"c{i}" for i in range(70)]}
+    df = spark.createDataFrame([("r", p, t, list(range(1, len(t) + 1))) for p, t in toks.items()], "repo string, path string, toks array<string>, lines array<int>")
+    got = {(r.a, r.b) for r in clones.pair_seeds(clones.packed(df, "path"), "path").collect()}
+    long_ = {("all", "bare"), ("all", "head"), ("all", "tail"), ("bare", "head")}  # the others have 60 tokens in common at most
+    assert long_ <= got
+    assert {(r.a, r.b) for r in clones.clone_runs(df, "path").collect()} == long_
+    # 40 tokens in common leave no seed
+    short = spark.createDataFrame([("r", p, text(p, 20, 40), list(range(1, 121))) for p in "ab"], "repo string, path string, toks array<string>, lines array<int>")
+    p = clones.packed(short, "path")
+    assert clones.pair_seeds(p, "path", shortest=25).count() == 1 and clones.pair_seeds(p, "path").count() == 0
+
+
 def test_texts_of_clones_are_packed(spark):
     from codestrata.operators import clones
 
